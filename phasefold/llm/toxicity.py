@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters. Lexicon voters hold words whose document frequencies differ most between toxic
+Voters. Lexicon voters hold words and stems whose document frequencies differ most between toxic
 and other labelled texts (learned from at most `max_labelled` labelled rows outside the
 held-out fold, drawn by a hash; dealt to several voters by rank). A general list of
 insults, spelling patterns that hide insults, direct address, shouting, repeated hits and
@@ -23,6 +23,7 @@ scores; labels, lang, source and ids are no inputs of a score.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import base
 from .decontaminate import TO_WORDS
+from .near_dedup import shingle_sets
 
 GROUPS = 6
 INSULTS = """idiot idiots idiotic moron morons moronic stupid stupidity loser losers clown clowns scum worthless disgusting
@@ -44,8 +46,25 @@ VOTERS = [*(f"learned{g}" for g in range(GROUPS)), "insults", "hidden", "address
 MEASURES = [*(f"hits{g}" for g in range(GROUPS)), "insults", "hidden", "address", "density", "upper", "marks", "length"]
 
 
-def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 3) -> list[str]:
-    """Words that tell toxic texts, best first, from rows (text, toxic)."""
+#: leading characters of longer words that may be an entry of the lexicon, written with a star
+STEMS = (4, 5, 6, 7)
+
+
+def entries(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 4) -> list[str]:
+    """Words and stems that tell toxic texts, best first, from rows (text, toxic).
+
+    Of texts with the same smallest shingle hash (copies, mostly) one counts, so that
+    what only a group of copies shares is no sign of its own.
+    """
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in base.steps(batches):
+            sets = shingle_sets(base.strings(base.col(b, "text")), 5)
+            yield pa.RecordBatch.from_arrays([base.col(b, "text"), base.col(b, "toxic"), pa.array([int(s[0]) if len(s) else 0 for s in sets], pa.int64())], ["text", "toxic", "key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.steps(batches):
@@ -53,50 +72,81 @@ def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 3) -> list[str]
             if not len(flat):
                 continue
             codes, words = base.coded(flat)
+            names: dict[str, int] = {}
+            of_word = [[names.setdefault(e, len(names)) for e in entries(w)] for w in words]
+            n_own = np.fromiter(map(len, of_word), np.int64, len(words))
+            first, own = base.starts_of(n_own), np.fromiter((i for x in of_word for i in x), np.int64)
             doc = np.repeat(np.arange(len(counts)), counts)
             each = np.unique(doc * len(words) + codes)
-            toxic = base.col(b, "toxic").to_numpy(zero_copy_only=False)[each // len(words)]
-            w = each % len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(w, toxic, len(words))), pa.array(np.bincount(w, 1 - toxic, len(words)))], ["word", "pos", "neg"])
+            doc, w = each // len(words), each % len(words)
+            at = np.repeat(first[w] - np.cumsum(n_own[w]) + n_own[w], n_own[w]) + np.arange(int(n_own[w].sum()))
+            each = np.unique(np.repeat(doc, n_own[w]) * len(names) + own[at])
+            toxic, e = base.col(b, "toxic").to_numpy(zero_copy_only=False)[each // len(names)], each % len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array(np.bincount(e, toxic, len(names))), pa.array(np.bincount(e, 1 - toxic, len(names)))], ["word", "pos", "neg"])
 
+    texts = texts.mapInArrow(key, "text string, toxic int, key long").dropDuplicates(["key", "toxic"])
+    sums = texts.mapInArrow(count, "word string, pos double, neg double").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = texts.groupBy("toxic").count().collect()
     pos, neg = (sum(r["count"] for r in n if r.toxic == v) for v in (1, 0))
     if not pos or not neg:
         return []
-    sums = texts.mapInArrow(count, "word string, pos double, neg double").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (pos - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (neg - F.col("neg") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    # the rate of hits that chance allows in a vocabulary this large: z above 5, and mostly toxic texts
-    good = sums.where((F.col("pos") >= least_docs)).withColumn("z", z).where((F.col("z") > 5) & (F.col("pos") / pos > 10 * F.col("neg") / neg))
-    return [r.word for r in good.orderBy(F.desc("z"), "word").limit(most).collect()]
+    share = pos / (pos + neg)
+    gain = (F.col("pos") - (F.col("pos") + F.col("neg")) * share) ** 2 / ((F.col("pos") + F.col("neg")) * share * (1 - share))
+    good = sums.where(F.col("pos") >= least_docs).withColumn("chi", gain).where((F.col("chi") > 25) & (F.col("pos") / pos > 8 * F.col("neg") / neg))
+    return [r.word for r in good.orderBy(F.desc("chi"), "word").limit(most).collect()]
+
+
+class Lexicon:
+    """The lexicon's group of a word (GROUPS: an insult outside the lexicon; -1: none), remembered up to a bound."""
+
+    def __init__(self, words: list[str]):
+        self.listed = {w: GROUPS for w in INSULTS} | {w: i % GROUPS for i, w in enumerate(words)}
+        self.known: dict[str, int] = {}
+
+    def find(self, word: str) -> int:
+        return next((self.listed[e] for e in entries(word) if e in self.listed), -1)
+
+    def groups(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > 400_000:
+            self.known.clear()
+        out = list(map(self.known.get, words))
+        for i, g in enumerate(out):
+            if g is None:
+                out[i] = self.known[words[i]] = self.find(words[i])
+        return np.array(out, np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def _lexicon(words: tuple[str, ...]) -> Lexicon:
+    return Lexicon(list(words))
 
 
 def measure(docs: DataFrame, words: list[str]) -> DataFrame:
     """id, votes (base-3 number, 1 for abstaining), x (measures) of rows (id, text)."""
-    group = {w: i % GROUPS for i, w in enumerate(words)}
-    listed = pa.array([*words, *(w for w in INSULTS if w not in group)], pa.string())
-    of_word = np.array([group.get(w, GROUPS) for w in listed.to_pylist()], np.int64)
-    insult = np.isin(np.array(listed.to_pylist(), object), INSULTS)
+    insults, words = frozenset(INSULTS), tuple(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = _lexicon(words)
         for b in base.steps(batches):
             texts = base.strings(base.col(b, "text"))
             n = len(texts)
             flat, counts = base.split_words(base.translated(texts, TO_WORDS))
-            code = pc.fill_null(pc.index_in(flat, value_set=listed), -1).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(code >= 0)
-            doc, code = np.searchsorted(base.starts_of(counts), at, "right") - 1, code[at]
-            hits = np.bincount(doc * (GROUPS + 1) + of_word[code], minlength=n * (GROUPS + 1)).reshape(n, GROUPS + 1)
-            insults = np.bincount(doc[insult[code]], minlength=n)
+            codes, own = base.coded(flat)
+            group = listed.groups(own)
+            is_insult = np.fromiter((g >= 0 and w in insults for g, w in zip(group.tolist(), own)), bool, len(own))
+            at = np.flatnonzero(group[codes] >= 0) if len(own) else np.zeros(0, np.int64)
+            doc, code = np.searchsorted(base.starts_of(counts), at, "right") - 1, codes[at]
+            hits = np.bincount(doc * (GROUPS + 1) + group[code], minlength=n * (GROUPS + 1)).reshape(n, GROUPS + 1)
+            rude = np.bincount(doc[is_insult[code]], minlength=n)
             hidden, address, upper, marks = (pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False).astype(np.float64) for p in (HIDDEN, ADDRESS, "[A-Z]", "!"))
             size = np.diff(base.raw(texts)[0])
             total = hits.sum(1)
             any_hit = (total > 0) | (hidden > 0) | (address > 0)
             shout = (upper > 0.5 * np.maximum(size, 1)) & (marks >= 3)
-            votes = np.stack([*(np.where(hits[:, g] > 0, 1, 0) for g in range(GROUPS)), insults > 0, hidden > 0, address > 0, shout, total + (hidden > 0) >= 2, np.where(any_hit, 0, -1)], 1).astype(np.int64)
+            votes = np.stack([*(hits[:, g] > 0 for g in range(GROUPS)), rude > 0, hidden > 0, address > 0, shout, total >= 2, np.where(any_hit, 0, -1)], 1).astype(np.int64)
             number = ((votes + 1) * 3 ** np.arange(len(VOTERS))).sum(1)
             words_n = np.maximum(counts, 1)
-            x = np.stack([*(np.log1p(hits[:, g]) for g in range(GROUPS)), np.log1p(insults), np.log1p(hidden), np.log1p(address), np.sqrt(total / words_n), upper / np.maximum(size, 1), np.minimum(marks / words_n, 3), np.log1p(counts) / 10], 1)
+            x = np.stack([*(np.log1p(hits[:, g]) for g in range(GROUPS)), np.log1p(rude), np.log1p(hidden), np.log1p(address), np.sqrt(total / words_n), upper / np.maximum(size, 1), np.minimum(marks / words_n, 3), np.log1p(counts) / 10], 1)
             full = np.concatenate([votes != 0, x], 1).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * full.shape[1]), pa.array(full.ravel()))
             yield pa.RecordBatch.from_arrays([base.col(b, "id"), pa.array(number), lists], ["id", "votes", "x"])
@@ -179,7 +229,7 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fit: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_fit: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs."""
     scratch = base.Scratch(docs.sparkSession, "toxic")
     held = base.crc_mod(F.col("id"), fold) == 0
