@@ -125,7 +125,7 @@ def among(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int =
 class NearDuplicates:
     """One run over docs; components() is its result."""
 
-    def __init__(self, docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
         self.percent, self.t, self.width = percent, percent / 100, width
@@ -275,11 +275,11 @@ def components(edges: DataFrame, scratch: base.Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept (whether the id is its component's smallest) per row of docs."""
     got = NearDuplicates(docs, percent, width, id_col, text_col).components()
     return got.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(base.table(spark, sf_dir, "documents"))
+    return near_duplicates(base.table(spark, sf_dir, "documents"), percent=85)

@@ -10,8 +10,12 @@ _LISTED = {
     "op2_topk_search": ("topk", True),
     "op3_decontamination": ("decontaminate", True),
     "op4_token_counts": ("token_counts", False),
+    "op5_toxicity": ("toxicity", False),
     "op6_mixing": ("mixing", False),
     "op7_token_output": ("token_output", False),
+    "op8_near_dedup": ("near_dedup", False),
+    "op9_license_scan": ("license_scan", True),
+    "op10_language_id": ("langid", False),
 }
 
 
