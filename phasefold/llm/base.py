@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: bytes of text that one vectorised step handles at most (a longer text is a step of its own)
 STEP_BYTES = 12_000_000
@@ -21,11 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crc_mod(col, mod: int):
-    """crc32(id as text) mod `mod`; a null id counts as 0."""
-    from pyspark.sql import functions as F
+def in_fold(col, mod: int, value: int):
+    """Whether crc32(id as text) mod `mod` is value; false for a null id."""
+    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % F.lit(mod) == value, F.lit(False))
 
-    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % F.lit(mod), F.lit(0))
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in any case: results take their place."""
+    low = {n.lower() for n in names}
+    return df.select(*("`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in low))
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema)
 
 
 class Scratch:

@@ -148,8 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     if remove not in ("nothing", "documents", "spans"):
         raise ValueError(f"remove: {remove}")
     blocks = write_blocks(benchmark, base.Scratch(docs.sparkSession, "bench"), block_words, item_col, item_text_col)
-    extra = [c for c in ("n_words", "n_hit", "items", "contaminated") if c in docs.columns]
-    docs = docs.drop(*extra)  # results replace columns of the same names
+    docs = base.without(docs, "n_words", "n_hit", "items", "contaminated")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.steps(batches, text_col):
@@ -176,8 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
             done = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
             yield done.filter(pc.invert(done.column(len(cols) - 1))) if remove == "documents" else done
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{schema}, n_words long, n_hit long, items array<string>, contaminated boolean")
+    return docs.mapInArrow(scan, f"{base.schema_of(docs)}, n_words long, n_hit long, items array<string>, contaminated boolean")
 
 
 def _without(text: str, hit: np.ndarray) -> str:

@@ -129,6 +129,8 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     sums = rows.mapInArrow(add, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).toPandas()
     names = sorted(set(sums["lang"]))
     out = np.zeros((len(names), DIMS))
+    if not names:
+        return names, out
     out[[names.index(x) for x in sums["lang"]], sums["dim"].to_numpy()] = sums["v"].to_numpy()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return names, np.divide(out, norm, out=out, where=norm > 0)
@@ -136,7 +138,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    docs = docs.drop(*(c for c in ("lang_pred", "score") if c in docs.columns))
+    docs = base.without(docs, "lang_pred", "score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.steps(batches, text_col, STEP):
@@ -152,15 +154,14 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col:
             cols = [*b.columns, pa.array(lang, pa.string()), pa.array(np.where(n_letters > 0, cos, 0.0) if names else np.zeros(n))]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(score, f"{base.schema_of(docs)}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fold: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with held_out, lang_pred and score; learned from rows that are not held out."""
-    out = base.crc_mod(F.col(id_col), fold) == held
+    out = base.in_fold(F.col(id_col), fold, held)
     known = docs.where(~out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return predict(docs.withColumn("held_out", out), *learn(known), text_col)
+    return predict(base.without(docs, "held_out").withColumn("held_out", out), *learn(known), text_col)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_fit: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs."""
     scratch = base.Scratch(docs.sparkSession, "toxic")
-    held = base.crc_mod(F.col("id"), fold) == 0
+    held = base.in_fold(F.col("id"), fold, 0)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held)
     # a bounded number of rows, so their ids can be sent to all tasks
