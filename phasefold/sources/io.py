@@ -69,7 +69,7 @@ def sample(spark: SparkSession, name: str, n: int = 1000) -> DataFrame:
     else:
         raise ValueError(f"no sample {name}")
     rows = list(zip(t.tolist(), *(c.tolist() for c in cols.values())))
-    return spark.createDataFrame(rows, ", ".join(["time long", *(f"{c} double" for c in cols)]))
+    return spark.createDataFrame(rows, ", ".join(["t long", *(f"{c} double" for c in cols)]))
 
 
 SAMPLES = ("circle", "tent", "logistic", "lorenz")
