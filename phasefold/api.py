@@ -18,7 +18,14 @@ from .plans.sweeps import predict_nonlinear as PredictNonlinear
 from .plans.sweeps import smap_theta as SMap_theta
 from .plans.sweeps import smap_tp as SMap_Tp
 
+
+
+def MakeBlock(*_, **__):
+    """Gone; Embed does it."""
+    raise ValueError("MakeBlock is gone: use Embed")
+
+
 __all__ = [
     "CCM", "CCM_Matrix", "ComputeError", "CrossMap_ColumnList", "CrossMap_Columns", "CrossMap_Matrix", "Embed", "EmbedDimension",
-    "EmbedDim_Columns", "Multiview", "PredictInterval", "PredictNonlinear", "SMap", "SMap_Tp", "SMap_theta", "Simplex", "SurrogateData",
+    "EmbedDim_Columns", "MakeBlock", "Multiview", "PredictInterval", "PredictNonlinear", "SMap", "SMap_Tp", "SMap_theta", "Simplex", "SurrogateData",
 ]

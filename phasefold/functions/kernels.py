@@ -350,7 +350,7 @@ def ccm(columns: list[np.ndarray], y: np.ndarray, spec: dict, sizes: list[int],
 
 
 def generate(x: np.ndarray, t: np.ndarray, spec: dict, steps: int, theta: float | None = None, solver=None, valid: np.ndarray | None = None):
-    """Feedback forecasts: (row, time, observation, prediction, variance, coefficients) of each step; each prediction becomes the next row's value."""
+    """Feedback forecasts: (row, time, observation, prediction, variance, coefficients, singular values) of each step; each prediction becomes the next row's value."""
     n, last = len(x), spec["lib"][-1]
     full, time = np.concatenate([x, np.full(steps, np.nan)]), np.concatenate([t, np.full(steps, np.nan)])
     step = t[1] - t[0] if len(t) > 1 else 1.0
@@ -364,12 +364,12 @@ def generate(x: np.ndarray, t: np.ndarray, spec: dict, steps: int, theta: float
         pred = np.array([row]) if row in p.pred else np.zeros(0, int)
         if theta is None:
             mu, var = simplex(p, pred)
-            coef = np.zeros((len(pred), 0))
+            coef = sing = np.zeros((len(pred), 0))
         else:
-            mu, var, coef, _ = smap(p, pred, theta, solver)
+            mu, var, coef, sing = smap(p, pred, theta, solver)
         r = row + p.Tp
         when = time[r] if r < now else time[now - 1] + (r - now + 1) * step
-        got = (float(mu[0]), float(var[0]), coef[0]) if len(pred) else (np.nan, np.nan, np.zeros(0))
+        got = (float(mu[0]), float(var[0]), coef[0], sing[0]) if len(pred) else (np.nan, np.nan, np.zeros(0), np.zeros(0))
         out.append((r, when, at_rows(y, np.array([r]))[0], *got))
         full[now], time[now] = got[0], time[now - 1] + step
     return out

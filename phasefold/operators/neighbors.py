@@ -51,13 +51,14 @@ def state(df: DataFrame, columns: list[str], target: str, E: int, tau: int, embe
     return rows.select("_i", "time", "y", F.when(whole, F.array(*(F.col(f"e{j}") for j in range(len(named))))).alias("emb"))
 
 
-def nearest(state_rows: DataFrame, lib: Column, pred: Column, k: int, radius: int = 0, dims: int = 1) -> DataFrame:
-    """p, l, rk, d: each prediction row's k nearest library rows, by (distance, row)."""
+def nearest(state_rows: DataFrame, lib: Column, pred: Column, k: int, radius: int = 0, dims: int = 1, n: int | None = None) -> DataFrame:
+    """p, l, rk, d: each prediction row's k nearest library rows, by (distance, row); n: rows of the series, if known."""
     left = state_rows.where(pred & F.col("emb").isNotNull()).select(F.col("_i").alias("p"), F.col("emb").alias("pe"))
     right = state_rows.where(lib & F.col("emb").isNotNull()).select(F.col("_i").alias("l"), F.col("emb").alias("le"))
     parallel = int(state_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = left.repartition(parallel, "p")  # the numbering window leaves one partition
-    right = F.broadcast(right.limit(MOST_BROADCAST + 1)) if _small(state_rows) else right
+    if n is not None and n <= MOST_BROADCAST:
+        right = F.broadcast(right)
     total = F.lit(0.0)
     for j in range(dims):
         d = F.col("pe")[j] - F.col("le")[j]
@@ -67,10 +68,6 @@ def nearest(state_rows: DataFrame, lib: Column, pred: Column, k: int, radius: in
     return pairs.select("p", "l", F.sqrt(total).alias("d")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def _small(rows: DataFrame) -> bool:
-    return rows.count() <= MOST_BROADCAST
-
-
 def project(near: DataFrame, state_rows: DataFrame, Tp: int) -> DataFrame:
     """p, prediction, variance by simplex weights; null if any neighbour's target is."""
     values = state_rows.select((F.col("_i") - Tp).alias("l"), F.col("y").alias("v"))
@@ -107,6 +104,6 @@ def simplex_join(df: DataFrame, columns, target: str, lib, pred, E: int, Tp: int
     learn = indices.library(lib, E, tau, Tp, embedded)
     learn = learn[(learn >= 0) & (learn < n) & (learn + Tp >= 0) & (learn + Tp < n)]
     ask = [(a - 1, b - 1) for a, b in indices.pairs(pred, "pred")]
-    near = nearest(rows, within(F.col("_i"), spans(learn)), within(F.col("_i"), ask), knn or E + 1, exclusionRadius, E if embedded else E * len(cols))
+    near = nearest(rows, within(F.col("_i"), spans(learn)), within(F.col("_i"), ask), knn or E + 1, exclusionRadius, E if embedded else E * len(cols), n)
     parts = [(int(s[0]), int(s[-1])) for s in indices.segments(pred, E, tau, embedded, n) if len(s)]
     return align(project(near, rows, Tp), rows, parts, Tp)

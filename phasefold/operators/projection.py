@@ -14,6 +14,8 @@ from ..functions.indices import names, numbers
 from ..functions.solvers import solver as resolve
 from ..plans.grid import Series, run
 from ..sources.series import Packed, pack, quoted
+from .embed import lag_name
+from .neighbors import simplex_join
 
 #: rows of one series from which its predictions are made in several tasks
 SPLIT_ROWS = 3_000
@@ -108,9 +110,6 @@ def simplex(df: DataFrame, columns=None, target=None, lib="", pred="", E: int =
     return out
 
 
-from .neighbors import simplex_join  # noqa: E402
-
-
 @dataclass
 class Result:
     """A projection with what it was made from."""
@@ -148,7 +147,7 @@ def smap(df: DataFrame, columns=None, target=None, lib="", pred="", E: int = 0,
         raise ValueError("several columns need embedded=True")
     fit = resolve(solver)
     if generateSteps > 0:
-        return {"predictions": generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, generateSteps, generateConcat, time, series, theta, fit)}
+        return generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, generateSteps, generateConcat, time, series, theta, fit)
     req = request(df, columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, time, series, n)
     req.spec |= {"smap": True, "theta": float(theta)}
 
@@ -163,21 +162,26 @@ def smap(df: DataFrame, columns=None, target=None, lib="", pred="", E: int = 0,
 
     got = run(req.packed, blocks(req.spec, n, req.packed), kernel, ROWS + ", coef array<double>, sing array<double>")
     all_rows = shaped(req.packed, got, "coef", "sing")
-    coords = cols if embedded else [f"{c}(t{'-' if tau < 0 else '+'}{abs(tau) * j})" for j in range(E) for c in cols]
-    keys = [*map(quoted, req.packed.keys), F.col("segment"), F.col("_i"), F.col("Time")]
-    named = ["C0", *(f"∂{req.target}/∂{c}" for c in coords)]
-    out = {
-        "predictions": all_rows.drop("coef", "sing"),
-        "coefficients": all_rows.select(*keys, *(F.col("coef")[i].alias(c) for i, c in enumerate(named))),
-        "singularValues": all_rows.select(*keys, *(F.col("sing")[i].alias(f"C{i}") for i in range(len(named)))),
-    }
+    out = parts(req, all_rows, tau, E, embedded)
     if returnObject:
         return Result(out["predictions"], neighbours(req), req, None, out["coefficients"], out["singularValues"])
     return out
 
 
-def generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, steps, concat, time=None, series=None, theta: float | None = None, fit=None) -> DataFrame:
-    """Feedback forecasts: each prediction becomes the next row. One task per series, as steps depend on each other."""
+def parts(req: Request, rows: DataFrame, tau: int, E: int, embedded: bool) -> dict[str, DataFrame]:
+    """predictions, coefficients and singularValues from rows with arrays coef and sing."""
+    coords = req.columns if embedded else [lag_name(c, tau, j) for j in range(E) for c in req.columns]
+    keys = [*map(quoted, req.packed.keys), F.col("segment"), F.col("_i"), F.col("Time")]
+    named = ["C0", *(f"∂{req.target}/∂{c}" for c in coords)]
+    return {
+        "predictions": rows.drop("coef", "sing"),
+        "coefficients": rows.select(*keys, *(F.get("coef", F.lit(i)).alias(c) for i, c in enumerate(named))),
+        "singularValues": rows.select(*keys, *(F.get("sing", F.lit(i)).alias(f"C{i}") for i in range(len(named)))),
+    }
+
+
+def generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, steps, concat, time=None, series=None, theta: float | None = None, fit=None):
+    """Feedback forecasts (a DataFrame; with theta a dict as of smap): each prediction becomes the next row. One task per series, as steps depend on each other."""
     cols = names(columns)
     if len(cols) != 1:
         raise ValueError("generation takes one column")
@@ -190,9 +194,10 @@ def generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedde
     def kernel(s: Series, spec: dict) -> dict:
         x = s[spec["columns"][0]]
         out = kernels.generate(x, s.t, spec, spec["steps"], spec["theta"], fit, s.valid)
-        rows = [(0, r, t, o, p, v) for r, t, o, p, v, _ in out]
+        rows = [(0, *x) for x in out]
         if concat:
-            rows = [(0, i, t, v, np.nan, np.nan) for i, (t, v) in enumerate(zip(s.t, x))] + rows
-        return dict(zip(("segment", "_i", "t", "Observations", "Predictions", "Pred_Variance"), map(list, zip(*rows))))
+            rows = [(0, i, t, v, np.nan, np.nan, [], []) for i, (t, v) in enumerate(zip(s.t, x))] + rows
+        return dict(zip(("segment", "_i", "t", "Observations", "Predictions", "Pred_Variance", "coef", "sing"), map(list, zip(*rows))))
 
-    return shaped(req.packed, run(req.packed, [req.spec], kernel, ROWS))
+    got = shaped(req.packed, run(req.packed, [req.spec], kernel, ROWS + ", coef array<double>, sing array<double>"), "coef", "sing")
+    return got.drop("coef", "sing") if theta is None else parts(req, got, tau, E, embedded)

@@ -348,3 +348,21 @@ def test_io(spark, lorenz, tmp_path):
     assert io.read_parquet(spark, f"{tmp_path}/x.parquet").count() == 400
     io.write(lorenz, f"{tmp_path}/x.feather")
     assert io.read_feather(spark, f"{tmp_path}/x.feather").count() == 400
+
+
+def test_examples_and_cli(spark, lorenz, tmp_path):
+    from phasefold import cli
+    from phasefold.examples import examples
+
+    assert all(df.count() > 0 for df in examples(spark).values())
+    io.write(lorenz, f"{tmp_path}/in.parquet")
+    cli.main(["EmbedDimension", "--input", f"{tmp_path}/in.parquet", "--output", f"{tmp_path}/out.csv", "columns=V1", "target=V1", "maxE=3", "lib=1 100", "pred=[101, 200]"], spark)
+    assert io.read_csv(spark, f"{tmp_path}/out.csv").count() == 3
+    with pytest.raises(ValueError):
+        api.MakeBlock()
+
+
+def test_generated_maps(lorenz):
+    got = api.SMap(lorenz, "V1", "V1", "1 400", "1 2", E=2, theta=1, generateSteps=3, generateConcat=True)
+    coef = got["coefficients"].orderBy("_i").toPandas()
+    assert len(coef) == 403 and coef["C0"].notna().sum() == 3 and list(coef.columns)[-1] == "∂V1/∂V1(t-1)"
