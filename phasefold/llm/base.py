@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import tempfile
 import uuid
@@ -15,10 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text that one vectorised step handles at most (a longer text is a step of its own)
-STEP_BYTES = 12_000_000
+STEP_BYTES = 4_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most 2,000 rows and 16 MB, as rows are whole texts."""
+    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "0")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +63,7 @@ class Scratch:
             root = "file://" + tempfile.mkdtemp(prefix="phasefold-")
         elif "://" not in root:
             root = "file://" + root
+        bounded(spark)
         self.spark = spark
         self.uri = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -139,14 +152,43 @@ def coded(flat: pa.StringArray) -> tuple[np.ndarray, list[str]]:
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds at most `limit` bytes of text, or one row."""
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker's object for a key, made once; workers outlive tasks and stages."""
+    if key not in _held:
+        release(key)
+        _held[key] = make()
+    return _held[key]
+
+
+def release(keep=None) -> None:
+    """Drop what the worker holds for other operators, and give the memory back."""
+    gone = [k for k in _held if k != keep]
+    for k in gone:
+        del _held[k]
+    if gone:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES, keep=None) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds at most `limit` bytes of text, or one row.
+
+    keep: the key of what the worker may go on holding; all else is released first.
+    """
+    release(keep)
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total, lo = np.cumsum(size), 0
         while lo < len(size):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, "right")))
             yield b.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()
             lo = hi
 
 

@@ -12,7 +12,7 @@ import re
 import unicodedata
 
 #: words and pieces that a worker remembers at most
-MOST = 400_000
+MOST = 300_000
 
 
 def _byte_chars() -> list[str]:

@@ -3,7 +3,7 @@
 Documents are range-partitioned by id on their own columns, encoded once, and each
 partition is one file: ids in blocks of 128, each as offsets from the block's minimum,
 packed at the width that a percentile of them needs; the others keep their low bits in
-place and their high bits in the file's exception lists. An index holds every block's
+place, their high bits and positions in exception lists. An index holds every block's
 byte position, so any document can be read without those before it.
 
 The tokenizers library encodes each distinct word of a worker's texts once (see
@@ -16,7 +16,6 @@ ordered by a hash of their texts; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,10 +27,10 @@ from pyspark.sql import functions as F
 
 from . import base, pieces
 
-BLOCK, PERCENT = 128, 90
+BLOCK, PERCENT = 128, 97
 MAGIC = b"PFRIDS01"
-#: values packed or unpacked in one step
-CHUNK = 16_384
+#: blocks packed or unpacked in one step
+CHUNK = 4_096
 
 
 class Encoder:
@@ -46,14 +45,14 @@ class Encoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
-        self.flat, self.n_flat = np.zeros(1 << 20, np.uint32), 0
+        self.known: dict[str, bytes] = {}
+        self.flat, self.n_flat = np.zeros(1 << 19, np.uint32), 0
         self.first, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _piece(self, p: str) -> list[int]:
+    def _piece(self, p: str) -> bytes:
         ids = self.known.get(p)
         if ids is None:
-            ids = self.known[p] = [t.id for t in self.tokenize(p)]
+            ids = self.known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(p)])
         return ids
 
     def _add(self, words: list[str]) -> None:
@@ -62,16 +61,16 @@ class Encoder:
             own = pieces.cut(w)
             if own is None:
                 strange.append(len(ids))
-                ids.append([])
+                ids.append(b"")
             elif len(own) == 1:
                 ids.append(self._piece(own[0]))
             else:
-                ids.append([i for p in own for i in self._piece(p)])
+                ids.append(b"".join(map(self._piece, own)))
         if strange:
             for i, e in zip(strange, self.library.encode_batch_fast([words[i] for i in strange], add_special_tokens=False)):
-                ids[i] = e.ids
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+                ids[i] = np.array(e.ids, "<u4").tobytes()
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        new = np.frombuffer(b"".join(ids), "<u4")
         k, m = len(self.at), self.n_flat
         while m + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -102,11 +101,6 @@ class Encoder:
         return out, np.diff(base.starts_of(n)[base.starts_of(counts)])
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _pack(v: np.ndarray, w: int) -> np.ndarray:
     """Rows of 128 values below 2**w as rows of 4*w words: lane by lane, bits in order."""
     lanes = v.reshape(-1, 32, 4).astype(np.uint32)
@@ -132,40 +126,64 @@ def _unpack(words: np.ndarray, w: int) -> np.ndarray:
     return out.reshape(len(rows), BLOCK)
 
 
-def pack_ids(ids: np.ndarray) -> list[bytes]:
-    """The parts of a file's block section: minima, widths, block starts, exceptions, packed words."""
-    n = len(ids)
-    k = -(-n // BLOCK)
-    full = np.zeros(k * BLOCK, np.uint32)
-    full[:n] = ids
-    if n:
-        full[n:] = ids[-1]
-    full = full.reshape(k, BLOCK)
-    low = full.min(1) if k else np.zeros(0, np.uint32)
-    width = np.zeros(k, np.uint8)
-    place, high, words = [], [], [np.zeros(0, np.uint32)] * k
-    for at in range(0, k, CHUNK):
-        d = full[at : at + CHUNK] - low[at : at + CHUNK, None]
+class Packer:
+    """Packs ids as they come; holds packed blocks and less than a block of ids."""
+
+    def __init__(self):
+        self.n, self.rest = 0, np.zeros(0, np.uint32)
+        self.low, self.width, self.over, self.place, self.high, self.words = [], [], [], [], [], []
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        ids = np.concatenate([self.rest, ids.astype(np.uint32, copy=False)])
+        k = len(ids) // BLOCK
+        self.rest = ids[k * BLOCK :].copy()
+        for at in range(0, k, CHUNK):
+            self._blocks(ids[at * BLOCK : min(at + CHUNK, k) * BLOCK].reshape(-1, BLOCK))
+
+    def _blocks(self, full: np.ndarray) -> None:
+        low = full.min(1)
+        d = full - low[:, None]
         bits = np.ceil(np.log2(d.astype(np.float64) + 1)).astype(np.uint8)
         w = np.partition(bits, BLOCK * PERCENT // 100, axis=1)[:, BLOCK * PERCENT // 100]
-        width[at : at + CHUNK] = w
-        r, c = np.nonzero(bits > w[:, None])
-        place.append((at + r) * BLOCK + c)
-        high.append(d[r, c] >> w[r].astype(np.uint32))
+        out = bits > w[:, None]
+        r, c = np.nonzero(out)
+        starts = base.starts_of(w.astype(np.int64) * (BLOCK // 32))
+        words = np.zeros(int(starts[-1]), "<u4")
         for each in np.unique(w).tolist():
-            rows = np.flatnonzero(w == each)
             if each:
-                packed = _pack(d[rows] & np.uint32((1 << each) - 1), each)
-                for i, x in zip(rows.tolist(), packed):
-                    words[at + i] = x
-    starts = base.starts_of(width.astype(np.int64) * (BLOCK // 8))
-    place, high = (np.concatenate(x) if x else np.zeros(0) for x in (place, high))
-    return [low.astype("<u4").tobytes(), width.tobytes(), starts.astype("<i8").tobytes(), place.astype("<i8").tobytes(), high.astype("<u4").tobytes(), (np.concatenate(words) if k else np.zeros(0, np.uint32)).astype("<u4").tobytes()]
+                rows = np.flatnonzero(w == each)
+                words[starts[rows][:, None] + np.arange(4 * each)] = _pack(d[rows] & np.uint32((1 << each) - 1), each)
+        self.low.append(low)
+        self.width.append(w)
+        self.over.append(out.sum(1).astype(np.uint8))
+        self.place.append(c.astype(np.uint8))
+        self.high.append(d[r, c] >> w[r].astype(np.uint32))
+        self.words.append(words)
+
+    def parts(self) -> list[bytes]:
+        """Minima, widths, block starts, numbers of exceptions, their places and high bits, packed words; the last block is filled up."""
+        if len(self.rest):
+            n = self.n
+            self.add(np.full(BLOCK - len(self.rest), self.rest[-1], np.uint32))
+            self.n = n
+        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
+        width, high = join(self.width, np.uint8), join(self.high, np.uint32)
+        small = "<u2" if not len(high) or high.max() < 1 << 16 else "<u4"
+        starts = base.starts_of(width.astype(np.int64) * (BLOCK // 8))
+        return [join(self.low, "<u4").tobytes(), width.tobytes(), starts.astype("<i8").tobytes(), join(self.over, np.uint8).tobytes(), join(self.place, np.uint8).tobytes(), high.astype(small).tobytes(), b"".join(x.tobytes() for x in self.words)]
+
+
+def pack_ids(ids: np.ndarray) -> list[bytes]:
+    p = Packer()
+    p.add(ids)
+    return p.parts()
 
 
 def unpack_ids(parts: list[pa.Buffer], n: int, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of blocks first to last of a file's block section."""
-    low, width, starts, place, high, words = (np.frombuffer(p, t) for p, t in zip(parts, ("<u4", np.uint8, "<i8", "<i8", "<u4", "<u4")))
+    low, width, starts, over, place = (np.frombuffer(p, t) for p, t in zip(parts, ("<u4", np.uint8, "<i8", np.uint8, np.uint8)))
+    high, words = np.frombuffer(parts[5], "<u4" if len(parts[5]) == 4 * len(place) else "<u2"), np.frombuffer(parts[6], "<u4")
     last = len(width) if last is None else min(last, len(width))
     out = np.zeros((last - first, BLOCK), np.uint32)
     for at in range(first, last, CHUNK):
@@ -174,17 +192,18 @@ def unpack_ids(parts: list[pa.Buffer], n: int, first: int = 0, last: int | None
             if each:
                 rows = at + np.flatnonzero(w == each)
                 out[rows - first] = _unpack(words[(starts[rows] // 4)[:, None] + np.arange(4 * each)], each)
-    a, b = np.searchsorted(place, (first * BLOCK, last * BLOCK))
-    p = place[a:b] - first * BLOCK
-    out.reshape(-1)[p] |= high[a:b] << width[place[a:b] // BLOCK].astype(np.uint32)
+    ends = base.starts_of(over)
+    a, b = int(ends[first]), int(ends[last])
+    block = np.repeat(np.arange(first, last), over[first:last])
+    out[block - first, place[a:b]] |= high[a:b].astype(np.uint32) << width[block].astype(np.uint32)
     out += low[first:last, None]
     return out.reshape(-1)[: n - first * BLOCK]
 
 
-def file_parts(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+def file_parts(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, packed: Packer) -> list[bytes]:
     """A whole file: magic, length of the head, JSON head with the sections' lengths, sections."""
-    sections = [doc_ids.astype("<i8").tobytes(), np.packbits(missing).tobytes(), counts.astype("<i8").tobytes(), *pack_ids(ids)]
-    head = json.dumps({"docs": len(doc_ids), "ids": len(ids), "block": BLOCK, "sections": [len(s) for s in sections]}).encode()
+    sections = [doc_ids.astype("<i8").tobytes(), np.packbits(missing).tobytes(), counts.astype("<i8").tobytes(), *packed.parts()]
+    head = json.dumps({"docs": len(doc_ids), "ids": packed.n, "block": BLOCK, "sections": [len(s) for s in sections]}).encode()
     head += b" " * (-len(head) % 8)
     padded = [s + b"\0" * (-len(s) % 8) for s in sections]
     return [MAGIC, len(head).to_bytes(8, "little"), head, *padded]
@@ -218,20 +237,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e, got = encoder(tokenizer), []
-        for b in base.steps(batches):
+        e, packer, doc_ids, n_ids = base.held(("encoder", tokenizer), lambda: Encoder(tokenizer)), Packer(), [], []
+        for b in base.steps(batches, limit=6_000_000, keep=("encoder", tokenizer)):
             ids, counts = e.encode(base.strings(base.col(b, "text")))
-            out = np.insert(ids.astype(np.uint16) if e.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else ids, np.cumsum(counts), end_id)
-            got.append((base.col(b, "id"), counts + 1, out))
-        if not got:
+            packer.add(np.insert(ids, np.cumsum(counts), end_id))
+            doc_ids.append(base.col(b, "id"))
+            n_ids.append(counts + 1)
+        if not doc_ids:
             return
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        doc_ids = pa.concat_arrays([x[0] for x in got])
-        uri = f"{folder}/part-{part:06d}-{attempt}.ids"
-        ids = np.concatenate([x[2] for x in got])
-        numbers = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        base.put_file(uri, file_parts(numbers, doc_ids.is_null().to_numpy(zero_copy_only=False), np.concatenate([x[1] for x in got]), ids))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(ids)], pa.int64())], ["part", "uri", "n"])
+        uri, owners = f"{folder}/part-{part:06d}-{attempt}.ids", pa.concat_arrays(doc_ids)
+        numbers = owners.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        base.put_file(uri, file_parts(numbers, owners.is_null().to_numpy(zero_copy_only=False), np.concatenate(n_ids), packer))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([packer.n], pa.int64())], ["part", "uri", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
@@ -239,11 +257,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     return [(r.uri, r.n) for r in sorted(files, key=lambda r: r.part)]
 
 
-def read_tokens(spark, files: list[tuple[str, int]], id_col: str = "doc_id", step: int = 4_000_000) -> DataFrame:
+def read_tokens(spark, files: list[tuple[str, int]], id_col: str = "doc_id", step: int = 1_000_000) -> DataFrame:
     """id_col, start, n_tokens, ids_crc32 of every document, from the files alone."""
     starts = base.starts_of(np.array([n for _, n in files], np.int64)).tolist()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.release()
         for b in batches:
             for uri, start in zip(base.col(b, "uri").to_pylist(), base.col(b, "start").to_pylist()):
                 f, lo = TokenFile(uri), 0
