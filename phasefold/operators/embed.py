@@ -16,7 +16,8 @@ def lag_name(column: str, tau: int, j: int) -> str:
 def lag_columns(columns: list[str], E: int, tau: int, order: Column, series: list[str]) -> list[Column]:
     """Lag by lag: x(t-0), y(t-0), x(t-1), ..."""
     w = Window.partitionBy(*map(quoted, series)).orderBy(order)
-    return [F.lag(clean(quoted(c)), -tau * j).over(w).alias(lag_name(c, tau, j)) for j in range(E) for c in columns]
+    at = lambda c, j: F.lag(clean(quoted(c)), -tau * j).over(w) if j else clean(quoted(c))
+    return [at(c, j).alias(lag_name(c, tau, j)) for j in range(E) for c in columns]
 
 
 def embed(df: DataFrame, E: int = 0, tau: int = -1, columns=None, includeTime: bool = False, time: str | None = None, series=None, plusminus: bool = False) -> DataFrame:
