@@ -24,7 +24,7 @@ def bounded(spark: SparkSession) -> None:
     """Let Arrow batches of this session hold at most 2,000 rows and 16 MB, as rows are whole texts."""
     for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 16 << 20)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key)
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
