@@ -211,8 +211,6 @@ simplex_case("simplex_valid_overlap", H, "v", "v", "1 400", "350 450", validLib=
 simplex_case("simplex_join_plan", H, "v", "v", E=3, neighbor_algorithm="join")
 simplex_case("simplex_join_radius", H, "v", "v", "1 400", "200 350", E=2, exclusionRadius=5, neighbor_algorithm="join")
 simplex_case("simplex_daily", D, "v", "v", "1 2000", "1 2200", E=3, digits=2, n=2399)
-# the overlapping rule leaves out the farthest row only where a prediction row is no library row itself
-SQL.pop("simplex_valid_overlap")
 
 
 def _simplex_users(s, d):
