@@ -17,8 +17,6 @@ nothing.
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -111,9 +109,10 @@ def _rolling_at(codes: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
         return h
 
 
-@functools.lru_cache(maxsize=1)
 def _grams(uri: str, window: int) -> Grams:
-    return Grams([(i, w) for i, w in base.get_json(uri)], window)
+    key = ("grams", uri, window)
+    base.release(key)  # one block at a time
+    return base.held(key, lambda: Grams([(i, w) for i, w in base.get_json(uri)], window))
 
 
 def write_blocks(benchmark: DataFrame, scratch: base.Scratch, block_words: int, item_col: str, text_col: str) -> list[str]:
@@ -151,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     docs = base.without(docs, "n_words", "n_hit", "items", "contaminated")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.steps(batches, text_col):
+        for b in base.steps(batches, text_col, keep=("grams", blocks[0], window) if blocks else None):
             texts = base.strings(base.col(b, text_col))
             flat, counts = base.split_words(base.translated(texts, TO_WORDS))
             first = base.starts_of(counts)

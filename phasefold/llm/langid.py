@@ -159,6 +159,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col:
 
 def identify(docs: DataFrame, fold: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with held_out, lang_pred and score; learned from rows that are not held out."""
+    base.bounded(docs.sparkSession)
     out = base.in_fold(F.col(id_col), fold, held)
     known = docs.where(~out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return predict(base.without(docs, "held_out").withColumn("held_out", out), *learn(known), text_col)

@@ -11,7 +11,6 @@ counted each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -101,17 +100,12 @@ class Merger:
         return np.array(out, np.int64)
 
 
-@functools.lru_cache(maxsize=2)
-def merger(path: str) -> Merger:
-    return Merger(path)
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(tokenizer)
-        for b in base.steps(batches):
+        m = base.held(("merger", tokenizer), lambda: Merger(tokenizer))
+        for b in base.steps(batches, keep=("merger", tokenizer)):
             texts = base.strings(base.col(b, "text"))
             flat, counts = base.split_words(texts)
             codes, words = base.coded(flat)

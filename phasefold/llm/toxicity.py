@@ -23,7 +23,6 @@ scores; labels, lang, source and ids are no inputs of a score.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,18 +115,13 @@ class Lexicon:
         return np.array(out, np.int64)
 
 
-@functools.lru_cache(maxsize=1)
-def _lexicon(words: tuple[str, ...]) -> Lexicon:
-    return Lexicon(list(words))
-
-
 def measure(docs: DataFrame, words: list[str]) -> DataFrame:
     """id, votes (base-3 number, 1 for abstaining), x (measures) of rows (id, text)."""
     insults, words = frozenset(INSULTS), tuple(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = _lexicon(words)
-        for b in base.steps(batches):
+        listed = base.held(("lexicon", words), lambda: Lexicon(list(words)))
+        for b in base.steps(batches, keep=("lexicon", words)):
             texts = base.strings(base.col(b, "text"))
             n = len(texts)
             flat, counts = base.split_words(base.translated(texts, TO_WORDS))
