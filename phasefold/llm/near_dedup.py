@@ -18,8 +18,9 @@ to its members:
    members with different hubs.
 Pairs of each round pass the size ratio, 4 shared list values, the union-sketch estimate
 (again with a chance below 1e-9 of losing a link; exact for small sets), and then an
-exact comparison of the full shingle sets of both texts. Texts travel to their hubs; a
-hub with many partners is split. Components are found by large-star and small-star steps
+exact comparison of the full shingle sets of both texts. In the first round texts travel
+to their hubs (a hub with many partners is split), in the second once to their cluster
+of remaining pairs (a cluster beyond a bound is split by hubs). Components are found by large-star and small-star steps
 on tables in the shared folder.
 
 Defined results: null or empty texts have no shingles and no links; fewer than 5 words
@@ -47,6 +48,8 @@ SKETCH, LISTED, COMMON = 64, 32, 4
 RARE, MOST_RANKED = 16, 200_000
 #: partners that one copy of a hub is compared with
 PER_HUB = 500
+#: shingles of the texts that one task holds at once
+CLUSTER = 2_000_000
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 
@@ -174,8 +177,8 @@ class NearDuplicates:
         some = shared.where(fits).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("m"))
         return some.where(F.col("m") >= F.least(self.need(F.col("an")), self.need(F.col("bn")))).select("a", "b")
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
+    def verified(self, pairs: DataFrame, nodes: DataFrame, label: str, clusters: bool = False) -> DataFrame:
+        """The pairs whose full sets are similar enough; with clusters, enough of them to connect the same."""
         pairs = self.scratch.save(pairs, f"{label}-pairs")
         own = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sk = among(nodes.select("node", "n", "sketch"), F.col("node"), own, F.col("node"))
@@ -185,16 +188,24 @@ class NearDuplicates:
         # a union below the sketch's size is the whole union: its share is exact
         ok = F.when(F.size("u") < SKETCH, F.col("k") * 100 >= F.size("u") * self.percent).otherwise(F.col("k") >= self.least[SKETCH])
         likely = self.scratch.save(got.where(ok).select("a", "b"), f"{label}-likely")
-        # hubs with many partners are split, so that no task compares more than a few hundred with one copy
+        links = self.at_hubs(likely, nodes, label) if not clusters else self.in_clusters(likely, nodes, label)
+        self.scratch.drop(f"{label}-pairs", f"{label}-likely")
+        return links
+
+    def texts(self, wanted: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+        """(node, text) of the wanted nodes: each one's text is read and sent once."""
+        reps = nodes.select("node", "rep_id", "rep_th").join(wanted.select("node").distinct(), "node", "left_semi")
+        reps = self.scratch.save(reps, f"{label}-reps")
+        docs = among(self.docs, F.xxhash64("id", "th"), reps, F.xxhash64("rep_id", "rep_th"))
+        return docs.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "text")
+
+    def at_hubs(self, likely: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) that hold, b's text travelling to a's; hubs with many partners are split."""
         parts = likely.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("parts"))
         asks = likely.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("turn"))
         heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("turn"))
         asks = self.scratch.save(asks.unionByName(heads), f"{label}-asks")
-        reps = nodes.select("node", "rep_id", "rep_th").join(asks.select("node").distinct(), "node", "left_semi")
-        reps = self.scratch.save(reps, f"{label}-reps")
-        texts = among(self.docs, F.xxhash64("id", "th"), reps, F.xxhash64("rep_id", "rep_th"))
-        texts = texts.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "text")
-        sent = asks.join(texts, "node").repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "turn", "node")
+        sent = asks.join(self.texts(asks, nodes, label), "node").repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "turn", "node")
         width, percent = self.width, self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,17 +219,61 @@ class NearDuplicates:
                         continue
                     if at != (a, part):
                         raise RuntimeError("a hub's text is missing")
-                    i = np.minimum(np.searchsorted(head, s), len(head) - 1)
-                    both = int((head[i] == s).sum())
-                    if 100 * both >= percent * (len(head) + len(s) - both):
+                    if similar(head, s, percent):
                         a_out.append(a)
                         b_out.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
         links = self.scratch.save(sent.mapInArrow(compare, "a long, b long"), f"{label}-links").distinct()
-        self.scratch.drop(f"{label}-pairs", f"{label}-likely", f"{label}-asks", f"{label}-reps")
+        self.scratch.drop(f"{label}-asks", f"{label}-reps")
         return links
 
+    def in_clusters(self, likely: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+        """Pairs that hold, as many as connect what all of them connect.
+
+        Each connected cluster of pairs is one group whose texts travel once; pairs that
+        are connected by then need no look. Clusters of more than CLUSTER shingles go
+        to their hubs instead.
+        """
+        found = components(likely, self.scratch, f"{label}-cc")
+        found = self.scratch.save(found.join(nodes.select("node", "n"), "node"), f"{label}-clusters")
+        sizes = found.groupBy("comp").agg(F.sum("n").alias("total"))
+        pairs = likely.join(found.select(F.col("node").alias("a"), "comp"), "a").join(sizes, "comp")
+        pairs = self.scratch.save(pairs.select("comp", "a", "b", (F.col("total") > CLUSTER).alias("large")), f"{label}-split")
+        rest = self.at_hubs(pairs.where("large").select("a", "b"), nodes, f"{label}-large")
+        small = found.join(sizes.where(F.col("total") <= CLUSTER), "comp").select("node", "comp")
+        held = small.join(self.texts(small, nodes, label), "node").select("comp", F.lit(0).alias("turn"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+        asked = pairs.where("NOT large").select("comp", F.lit(1).alias("turn"), "a", "b", F.lit(None).cast("string").alias("text"))
+        sent = held.unionByName(asked).repartition("comp").sortWithinPartitions("comp", "turn", "a", "b")
+        width, percent = self.width, self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, sets, up = None, {}, {}
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for batch in base.steps(batches):
+                own = shingle_sets(base.strings(base.col(batch, "text")), width)
+                a_out, b_out = [], []
+                for comp, turn, a, b, s in zip(*(base.col(batch, c).to_pylist() for c in ("comp", "turn", "a", "b")), own):
+                    if comp != at:
+                        at, sets, up = comp, {}, {}
+                    if turn == 0:
+                        sets[a], up[a] = s, a
+                    elif (x := root(a)) != (y := root(b)) and similar(sets[a], sets[b], percent):
+                        up[max(x, y)] = min(x, y)
+                        a_out.append(a)
+                        b_out.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+        links = self.scratch.save(sent.mapInArrow(compare, "a long, b long"), f"{label}-links")
+        self.scratch.drop(f"{label}-clusters", f"{label}-split", f"{label}-reps")
+        return links.unionByName(rest)
+
     def components(self) -> DataFrame:
         """id, n_shingles, component_id; one row per row of docs."""
         rows = self.scratch.save(sketches(self.docs, self.width), "sketches")
@@ -238,7 +293,7 @@ class NearDuplicates:
         x, y = (marked.select("v", F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("label").alias(f"l{s}")) for s in "ab")
         # (hub, member) pairs of the first round come up again only if they failed it, or were one link too short
         left = x.join(y, "v").where("a < b AND la <> lb AND la <> b AND lb <> a")
-        rest = self.verified(self.pairs(left), nodes, "rest")
+        rest = self.verified(self.pairs(left), nodes, "rest", clusters=True)
         self.scratch.drop("lists", "mixed")
         # one document may be several nodes, if rows share its id
         keyed = members.where("node IS NOT NULL AND id IS NOT NULL").select("id", "node")
@@ -254,9 +309,18 @@ class NearDuplicates:
         return out.select("id", F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def components(edges: DataFrame, scratch: base.Scratch) -> DataFrame:
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least percent of their union."""
+    if len(x) < len(y):
+        x, y = y, x
+    i = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[i] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def components(edges: DataFrame, scratch: base.Scratch, label: str = "cc") -> DataFrame:
     """(node, comp): the smallest node that each node of the edges (a, b) reaches."""
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-0")
+    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
     step, seen = 0, None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -266,9 +330,9 @@ def components(edges: DataFrame, scratch: base.Scratch) -> DataFrame:
         small = large.join(down, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         step += 1
-        now = scratch.save(small, f"cc-{step}")
+        now = scratch.save(small, f"{label}-{step}")
         sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(CAST(xxhash64(b, a) % 1000003 AS LONG))")).first()
-        scratch.drop(f"cc-{step - 1}")
+        scratch.drop(f"{label}-{step - 1}")
         if tuple(sums) == seen:
             break
         seen = tuple(sums)
