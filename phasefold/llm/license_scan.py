@@ -1,10 +1,12 @@
 """Licence scans: sparse TF-IDF cosine of lines to licence templates, then inheritance by directory.
 
-Only DataFrame functions run here. Every file's lines that hold a cue (a word without
-which no template matches) become sparse vectors: term frequency times
+Only DataFrame functions run here. Lines become sparse vectors: term frequency times
 ln((1 + N) / (1 + df)) + 1, df being the number of all files that hold the term, known
 for the templates' terms; other terms weigh as unseen ones. A line has the licence of
 the template with the largest cosine of at least `least`; a file has its best line's.
+A cosine is at most the norm of the unit template's terms that the line shares, so the
+heaviest terms of a template, taken until the others' norm is below `least`, hold one
+of every line it matches: lines without any of these are not scored.
 
 A licence file is one that is licence text for at least a third of its words. It
 declares its licence for its directory; a file without a licence of its own takes that
@@ -18,12 +20,16 @@ smallest path; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
 
 LEAST = 0.7
+#: the lines that the SQL looks at; the operator scores every line that can match
 CUE = "licen[cs]e|copyright|rights reserved|creative commons|cc by|cc0|permission is hereby granted|public domain|spdx"
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -50,7 +56,23 @@ def terms(text):
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, cue: str = CUE) -> DataFrame:
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+def needed(templates: list[tuple[str, str]], idf: dict[str, float], least: float) -> list[str]:
+    """Terms of which every line holds one that has a cosine of at least `least` (rounded to six digits) to a template."""
+    bar, out = max(0.0, least - 2e-6) ** 2, set()
+    for _, text in templates:
+        tf = Counter(words_of(text))
+        left = sorted(((tf[t] * idf[t]) ** 2, t) for t in tf)
+        total = sum(w for w, _ in left)
+        while left and sum(w for w, _ in left) >= bar * total:
+            out.add(left.pop()[1])
+    return sorted(out)
+
+
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """id, path, own_license, own_score, n_lines (with a licence), license, via, license_dir of rows (id, path, text).
 
     via: own, inherited or none; license_dir: the directory that a licence comes from.
@@ -58,7 +80,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     spark = files.sparkSession
     tpl = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "t_no int, t_name string, t_text string")
     t_tf = tpl.select("t_no", "t_name", F.explode(terms(F.col("t_text"))).alias("term")).groupBy("t_no", "t_name", "term").agg(F.count("*").alias("t_tf"))
-    vocabulary = sorted({w for _, t in templates for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()})
+    vocabulary = sorted({w for _, t in templates for w in words_of(t)})
     held = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary)))
     df = files.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(held, F.array().cast("array<string>")))).alias("term")).groupBy("term").count()
     # one row per template term, and '' for the number of files
@@ -66,6 +88,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     n = found.get("", 0)
     idf = spark.createDataFrame([(t, found.get(t, 0)) for t in vocabulary], "term string, df long")
     idf = idf.select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    cue = "(?<![a-z0-9])(?:" + "|".join(needed(templates, {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in vocabulary}, least)) + ")(?![a-z0-9])"
     unseen = F.log(F.lit(1.0) + n) + 1.0
     t_w = t_tf.join(F.broadcast(idf), "term").withColumn("t_w", F.col("t_tf") * F.col("idf"))
     t_norm = t_w.groupBy("t_no").agg(F.sqrt(F.sum(F.col("t_w") * F.col("t_w"))).alias("t_norm"))

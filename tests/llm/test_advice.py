@@ -1,0 +1,44 @@
+"""Whole jobs where an earlier round left rows or lines out."""
+
+from phasefold.llm import license_scan
+
+
+def test_license_lines_without_cue(spark):
+    """Lines without any word of the former cue list match their templates too."""
+    lines = [
+        ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+        ("CC-BY-SA-4.0", "CC-BY-SA 4.0"),
+        ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ]
+    rows = [(i, f"d{i}/f", t) for i, (_, t) in enumerate(lines)] + [(100 + i, f"e{i}/f", "plain prose of no licence") for i in range(50)]
+    got = {r.id: r for r in license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert [(got[i].own_license, got[i].via) for i in range(len(lines))] == [(name, "own") for name, _ in lines]
+
+
+def test_license_prefilter_is_safe(spark):
+    """Every line that brute force over all lines matches is scored; the filter's terms alone decide nothing else."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    texts = []
+    for _, t in license_scan.TEMPLATES * 12:
+        w = license_scan.words_of(t)
+        kept = [x for x in w if rng.random() < 0.75] + ["other"] * rng.randrange(2)
+        rng.shuffle(kept)
+        texts.append("-".join(kept))
+    n, sets = len(texts), [set(license_scan.words_of(t)) for t in texts]
+    idf = lambda x, known: math.log((1 + n) / (1 + (sum(x in s for s in sets) if known else 0))) + 1
+    vocabulary = {w for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}
+    weights = lambda w: {x: w.count(x) * idf(x, x in vocabulary) for x in set(w)}
+    tpl = [weights(license_scan.words_of(t)) for _, t in license_scan.TEMPLATES]
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    best = []
+    for t in texts:
+        w = weights(license_scan.words_of(t))
+        best.append(max(sum(w[x] * v.get(x, 0) for x in w) / (norm(w) * norm(v) or 1) for v in tpl) if w else 0)
+    got = license_scan.scan(spark.createDataFrame([(i, f"{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")).collect()
+    near = 1e-5
+    for r in got:
+        if abs(best[r.id] - license_scan.LEAST) > near:
+            assert (r.own_license is not None) == (best[r.id] >= license_scan.LEAST), texts[r.id]
