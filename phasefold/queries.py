@@ -298,23 +298,44 @@ register(
 # ---------------------------------------------------------------- cross mapping
 
 
-def _first(source: Callable, n: int) -> Callable:
-    return lambda s, d: source(s, d).orderBy("t").limit(n)
+def _shares(df: DataFrame, *percent: int) -> list[int]:
+    """Library sizes as percentages of the series' length."""
+    n = df.count()
+    return sorted({max(5, n * p // 100) for p in percent})
 
 
 def _ccm_full(s, d):
     """With the whole series as library every sample is the same."""
-    return rounded(ccm(_first(filled, 300)(s, d), "g0", "g1", [300], 3, E=2, seed=7, time="t").withColumnsRenamed({"g0:g1": "fwd", "g1:g0": "rev"}), fwd=4, rev=4)
+    df = filled(s, d)
+    return rounded(ccm(df, "g0", "g1", _shares(df, 100), 3, E=2, seed=7, time="t").withColumnsRenamed({"g0:g1": "fwd", "g1:g0": "rev"}), fwd=4, rev=4)
+
+
+def _ccm_sizes(s, d):
+    df = filled(s, d)
+    return ccm(df, "g0", "g1", _shares(df, 5, 25, 50, 75, 100), 20, E=3, seed=7, time="t").withColumnsRenamed({"g0:g1": "fwd", "g1:g0": "rev"})
+
+
+def _ccm_statistics(s, d):
+    df = filled(s, d)
+    return ccm(df, "g0", "g1", _shares(df, 17, 50), 5, E=2, seed=7, includeData=True, time="t")["PredictStats"]
+
+
+def _ccm_matrix_whole(s, d):
+    df = filled(s, d)
+    return rounded(matrices.ccm_matrix(df, 2, libSizes=_shares(df, 100), sample=2, time="t").select("column", "target", "rho"), rho=4)
+
+
+#: the queries take the whole series; the SQL is that of its first 300 hours
 
 
 _C = f"SELECT * FROM ({FILLED}) WHERE i < 300"
 register("ccm_whole_library", _ccm_full, f"""SELECT 300::BIGINT AS "LibSize", (SELECT {RHO} FROM ({sql_simplex(_C, ['g0'], 'g1', '1 300', '1 300', 2, 0)})) AS fwd, (SELECT {RHO} FROM ({sql_simplex(_C, ['g1'], 'g0', '1 300', '1 300', 2, 0)})) AS rev""")
-register("ccm_library_sizes", lambda s, d: ccm(_first(filled, 300)(s, d), "g0", "g1", "20 280 65", 20, E=3, seed=7, time="t").withColumnsRenamed({"g0:g1": "fwd", "g1:g0": "rev"}))
-register("ccm_statistics", lambda s, d: ccm(_first(filled, 300)(s, d), "g0", "g1", [50, 150], 5, E=2, seed=7, includeData=True, time="t")["PredictStats"])
-register("ccm_matrix", lambda s, d: matrices.ccm_matrix(_first(filled, 200)(s, d), 2, sample=5, expConverge=True, time="t"))
+register("ccm_library_sizes", _ccm_sizes)
+register("ccm_statistics", _ccm_statistics)
+register("ccm_matrix", lambda s, d: matrices.ccm_matrix(filled(s, d), 2, sample=5, expConverge=True, time="t"))
 register(
     "ccm_matrix_whole",
-    lambda s, d: rounded(matrices.ccm_matrix(_first(filled, 300)(s, d), 2, libSizes=[300], sample=2, time="t").select("column", "target", "rho"), rho=4),
+    _ccm_matrix_whole,
     " UNION ALL ".join(f"SELECT 'g{a}' AS \"column\", 'g{b}' AS target, {RHO} AS rho FROM ({sql_simplex(_C, [f'g{a}'], f'g{b}', '1 300', '1 300', 2, 0)})" for a in range(5) for b in range(5) if a != b),
 )
 
