@@ -61,7 +61,10 @@ def of_series(s: Series, spec: dict) -> kernels.Problem:
 
 
 def simplex_kernel(s: Series, spec: dict) -> dict:
-    p = of_series(s, spec)
+    return simplex_rows(s, of_series(s, spec))
+
+
+def simplex_rows(s: Series, p: kernels.Problem) -> dict:
     own = kernels.own_rows(p)
     mu, var = kernels.simplex(p, own)
     seg, r, t, at = kernels.aligned(p, own, s.t)
@@ -110,6 +113,26 @@ def simplex(df: DataFrame, columns=None, target=None, lib="", pred="", E: int =
     return out
 
 
+def simplex_whole(df: DataFrame, columns, target, E: int = 0, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, noTime: bool = False, time: str | None = None, series=None) -> DataFrame:
+    """Simplex projection of each series over its whole span, each row left out of its own library.
+
+    A series that is too short for E, tau and Tp has its rows with null predictions.
+    """
+    req = request(df, columns, target, "", "", E, Tp, knn, tau, exclusionRadius, embedded, None, noTime, time, series, whole_span=True)
+
+    def kernel(s: Series, spec: dict) -> dict:
+        n, none = len(s.t), np.zeros(0, int)
+        span = [1, n]
+        try:
+            indices.check(span, span, spec["E"], spec["tau"], spec["Tp"], spec["embedded"], n, False)
+        except ValueError:
+            rows = indices.segments(span, spec["E"], spec["tau"], spec["embedded"], n, False)[0]
+            return simplex_rows(s, kernels.Problem(np.zeros((n, 0)), s[spec["target"]], none, none, [rows if len(rows) else np.arange(n)], spec["Tp"], 1))
+        return simplex_rows(s, of_series(s, spec))
+
+    return shaped(req.packed, run(req.packed, [req.spec], kernel, ROWS + ", n_short long"))
+
+
 @dataclass
 class Result:
     """A projection with what it was made from."""

@@ -18,7 +18,7 @@ from .functions.metrics import compute_error
 from .operators.ccm import ccm
 from .operators.embed import embed
 from .operators.multiview import multiview
-from .operators.projection import neighbours, request, simplex, smap
+from .operators.projection import neighbours, request, simplex, simplex_whole, smap
 from .operators.surrogate import surrogate_data
 from .plans import matrices, sweeps
 from .sources import io
@@ -214,10 +214,8 @@ simplex_case("simplex_daily", D, "v", "v", "1 2000", "1 2200", E=3, digits=2, n=
 
 
 def _simplex_users(s, d):
-    """One forecast series per user with at least 40 events; library and prediction are its first 20 and its next 20."""
-    u = users(s, d)
-    enough = u.groupBy("user_id").count().where("count >= 40").select("user_id")
-    got = simplex(u.join(enough, "user_id", "left_semi"), "v", "v", "1 20", "21 40", E=2, time="event_id", series="user_id")
+    """One forecast series per user over all its events; the SQL is that of events 21 to 40 from the first 20, of users with at least 40."""
+    got = simplex_whole(users(s, d), "v", "v", E=2, time="event_id", series="user_id")
     return got.select("user_id", F.col("_i").alias("i"), F.round("Observations", 6).alias("obs"), F.round("Predictions", 6).alias("pred"))
 
 
