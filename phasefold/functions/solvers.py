@@ -54,9 +54,12 @@ def lasso(alpha: float = 1.0, **options):
 
 
 def cross_validated(make, alphas, folds: int = 5):
-    """The alpha of least squared error over contiguous folds, then fitted to all rows."""
+    """The alpha (one of alphas, or of alphas(X)) of least squared error over contiguous folds, then fitted to all rows."""
 
     def fit(X, y):
+        tried = alphas(X) if callable(alphas) else alphas
+        if len(y) < 2:
+            return make(tried[0])(X, y)
         parts = np.array_split(np.arange(len(y)), min(folds, len(y)))
 
         def loss(a):
@@ -68,7 +71,7 @@ def cross_validated(make, alphas, folds: int = 5):
                 total += ((y[part] - X[part] @ c - i) ** 2).sum()
             return total
 
-        return make(min(alphas, key=loss))(X, y)
+        return make(min(tried, key=loss))(X, y)
 
     return fit
 
@@ -84,6 +87,8 @@ def orthogonal_matching_pursuit(n_nonzero: int | None = None):
         for _ in range(min(k, X.shape[1])):
             gain = np.where(norm > 0, np.abs(Xc.T @ r) / np.where(norm > 0, norm, 1), -1)
             gain[used] = -1
+            if gain.max(initial=-1) < 0:
+                break
             used.append(int(gain.argmax()))
             own = np.linalg.lstsq(Xc[:, used], yc, rcond=None)[0]
             r = yc - Xc[:, used] @ own
@@ -93,51 +98,107 @@ def orthogonal_matching_pursuit(n_nonzero: int | None = None):
     return fit
 
 
+def angle_path(X, y, n_nonzero: int | None = None, lasso_path: bool = False, alpha: float = 0.0):
+    """Least-angle regression of centred data: (largest correlation of a unit column with the residual, slopes) at each knot."""
+    n, m = X.shape
+    norm = np.linalg.norm(X, axis=0)
+    live = norm > 0
+    Z = X / np.where(live, norm, 1)
+    c, active, r, out = np.zeros(m), [], y.copy(), []
+    knot = lambda: out.append((np.abs((Z.T @ r)[live]).max(initial=0), np.where(live, c / np.where(live, norm, 1), 0)))
+    for _ in range(8 * m):
+        knot()
+        corr = Z.T @ r
+        most = np.abs(corr[live]).max(initial=0)
+        if most <= max(alpha * n / max(norm.max(initial=1), 1), 1e-12 * max(1, np.abs(y).max(initial=0))) or len(active) >= (n_nonzero or m):
+            return out
+        new = [j for j in range(m) if live[j] and j not in active and abs(abs(corr[j]) - most) < 1e-10 * max(1, most)]
+        active += new[: 1 if not active else None]
+        A = Z[:, active] * np.sign(corr[active])
+        g = np.linalg.pinv(A.T @ A) @ np.ones(len(active))
+        a = 1 / np.sqrt(g.sum())
+        u = A @ (a * g)
+        step = most / a
+        for j in range(m):
+            if live[j] and j not in active:
+                p = Z[:, j] @ u
+                for s in ((most - corr[j]) / (a - p) if a != p else np.inf, (most + corr[j]) / (a + p) if a != -p else np.inf):
+                    if 1e-12 < s < step:
+                        step = s
+        move = a * g * np.sign(corr[active])
+        if lasso_path:
+            cross = [(-c[j] / d, j) for j, d in zip(active, move) if d and 1e-12 < -c[j] / d < step]
+            step = min([step, *(s for s, _ in cross)])
+        c[active] += step * move
+        r = y - Z @ c
+        if lasso_path:
+            gone = [j for j in active if abs(c[j]) < 1e-12 and len(active) > 1]
+            for j in gone:
+                c[j] = 0
+                active.remove(j)
+    knot()
+    return out
+
+
 def least_angle(n_nonzero: int | None = None, lasso_path: bool = False, alpha: float = 0.0):
     """Least-angle regression; with lasso_path, coefficients that cross zero leave."""
 
     def fit(X, y):
         Xc, yc, mx, my = _centred(X, y)
-        n, m = Xc.shape
-        norm = np.linalg.norm(Xc, axis=0)
-        live = norm > 0
-        Z = Xc / np.where(live, norm, 1)
-        c, active, r = np.zeros(m), [], yc.copy()
-        for _ in range(8 * m):
-            corr = Z.T @ r
-            most = np.abs(corr[live]).max(initial=0)
-            if most <= max(alpha * n / max(norm.max(initial=1), 1), 1e-12 * max(1, np.abs(yc).max(initial=0))) or len(active) >= (n_nonzero or m):
-                break
-            new = [j for j in range(m) if live[j] and j not in active and abs(abs(corr[j]) - most) < 1e-10 * max(1, most)]
-            active += new[: 1 if not active else None]
-            A = Z[:, active] * np.sign(corr[active])
-            g = np.linalg.pinv(A.T @ A) @ np.ones(len(active))
-            a = 1 / np.sqrt(g.sum())
-            u = A @ (a * g)
-            step = most / a
-            for j in range(m):
-                if live[j] and j not in active:
-                    p = Z[:, j] @ u
-                    for s in ((most - corr[j]) / (a - p) if a != p else np.inf, (most + corr[j]) / (a + p) if a != -p else np.inf):
-                        if 1e-12 < s < step:
-                            step = s
-            move = a * g * np.sign(corr[active])
-            if lasso_path:
-                cross = [(-c[j] / d, j) for j, d in zip(active, move) if d and 1e-12 < -c[j] / d < step]
-                step = min([step, *(s for s, _ in cross)])
-            c[active] += step * move
-            r = yc - Z @ c
-            if lasso_path:
-                out = [j for j in active if abs(c[j]) < 1e-12 and len(active) > 1]
-                for j in out:
-                    c[j] = 0
-                    active.remove(j)
-        c = np.where(live, c / np.where(live, norm, 1), 0)
+        c = angle_path(Xc, yc, n_nonzero, lasso_path, alpha)[-1][1]
+        return c, my - mx @ c
+
+    return fit
+
+
+def least_angle_cv(lasso_path: bool = False, folds: int = 5):
+    """The point of the path of least squared error over contiguous folds; points are correlations over the root of the rows."""
+
+    def path(X, y):
+        Xc, yc, mx, my = _centred(X, y)
+        got = angle_path(Xc, yc, None, lasso_path)
+        at = np.minimum.accumulate(np.array([a for a, _ in got]) / np.sqrt(len(y)))
+        C = np.array([c for _, c in got])
+        # slopes are linear in the correlation between knots
+        slopes = lambda q: np.column_stack([np.interp(q, at[::-1], C[::-1, j]) for j in range(X.shape[1])])
+        return at, slopes, mx, my
+
+    def fit(X, y):
+        if len(y) < 2:
+            return least_angle(lasso_path=lasso_path)(X, y)
+        whole, slopes, mx, my = path(X, y)
+        made = []
+        for part in np.array_split(np.arange(len(y)), min(folds, len(y))):
+            keep = np.ones(len(y), bool)
+            keep[part] = False
+            made.append((part, *path(X[keep], y[keep])))
+        tried = np.unique(np.concatenate([whole, *(at for _, at, *_ in made)]))[::-1]
+        loss = np.zeros(len(tried))
+        for part, _, own, fx, fy in made:
+            loss += ((y[part] - fy - own(tried) @ (X[part] - fx).T) ** 2).sum(1)
+        c = slopes(tried[[loss.argmin()]])[0]
         return c, my - mx @ c
 
     return fit
 
 
+def least_angle_ic(X, y):
+    """The knot of the lasso path of least Akaike criterion, with the noise of least squares on all columns."""
+    Xc, yc, mx, my = _centred(X, y)
+    n, m = X.shape
+    knots = [c for _, c in angle_path(Xc, yc, None, True)]
+    rss = np.array([((yc - Xc @ c) ** 2).sum() for c in knots])
+    df = np.array([(c != 0).sum() for c in knots])
+    if n > m + 1:
+        full = ((yc - Xc @ np.linalg.lstsq(Xc, yc, rcond=None)[0]) ** 2).sum()
+        noise = max(full / (n - m - 1), np.finfo(float).eps * (yc @ yc) / n, np.finfo(float).tiny)
+        score = rss / noise + 2 * df
+    else:  # no row is left to tell the noise from
+        score = n * np.log(np.maximum(rss / max(n, 1), np.finfo(float).tiny)) + 2 * df
+    c = knots[int(score.argmin())]
+    return c, my - mx @ c
+
+
 def gradient(alpha: float = 1e-4, epochs: int = 1000, tol: float = 1e-3, eta0: float = 0.01, power: float = 0.25, seed: int = 0):
     """Stochastic gradient descent on squared loss with an L2 term and steps eta0 / t ** power."""
 
@@ -170,12 +231,12 @@ NAMED = {
     "ElasticNet": elastic_net,
     "ElasticNetCV": lambda: cross_validated(elastic_net, _ALPHAS),
     "OrthogonalMatchingPursuit": orthogonal_matching_pursuit,
-    "OrthogonalMatchingPursuitCV": lambda: orthogonal_matching_pursuit(1),
+    "OrthogonalMatchingPursuitCV": lambda: cross_validated(orthogonal_matching_pursuit, lambda X: range(1, X.shape[1] + 1)),
     "Lars": least_angle,
-    "LarsCV": lambda: least_angle(),
+    "LarsCV": least_angle_cv,
     "LassoLars": lambda alpha=1.0: least_angle(lasso_path=True, alpha=alpha),
-    "LassoLarsCV": lambda: least_angle(lasso_path=True),
-    "LassoLarsIC": lambda: least_angle(lasso_path=True),
+    "LassoLarsCV": lambda: least_angle_cv(lasso_path=True),
+    "LassoLarsIC": lambda: least_angle_ic,
     "SGDRegressor": gradient,
 }
 

@@ -79,3 +79,35 @@ def test_panel_keeps_short_users(spark, tmp_path):
     got = same_users(spark, tmp_path)
     assert {u for u, _ in got} == set(counts)
     assert all(p is None for (u, _), (_, p) in got.items() if u > 3) and got[2, 39][1] is not None
+
+
+def test_solvers_choose_by_the_data():
+    import numpy as np
+
+    from phasefold.functions import solvers
+
+    rng = np.random.default_rng(2)
+    X = rng.standard_normal((300, 6))
+    true = np.array([2.0, -1.5, 1.0, 0, 0, 0])
+    c, i = solvers.solver("OrthogonalMatchingPursuitCV")(X, X @ true + 3 + 0.1 * rng.standard_normal(300))
+    assert np.abs(c - true).max() < 0.05 and abs(i - 3) < 0.05
+    # mostly noise: the whole path fits it, cross-validation and the criterion shrink
+    X = rng.standard_normal((60, 20))
+    true = np.r_[1.0, np.zeros(19)]
+    y = X @ true + rng.standard_normal(60)
+    whole = np.abs(solvers.linear(X, y)[0] - true).sum()
+    for name in ("LassoLarsCV", "LarsCV", "LassoLarsIC"):
+        c, _ = solvers.solver(name)(X, y)
+        assert np.abs(c - true).sum() < 0.7 * whole and c[0] > 0.4, name
+    # a point of the path between knots is the lasso's solution for that penalty of standardised columns
+    Z = (X - X.mean(0)) / X.std(0)
+    c, _ = solvers.solver("LassoLarsCV")(Z, y)
+    corr = Z.T @ (y - y.mean() - Z @ c) / len(y)
+    most = np.abs(corr).max()
+    assert np.allclose(corr[c != 0], most * np.sign(c[c != 0]), atol=1e-8)
+    flat = np.column_stack([np.ones(30), np.arange(30.0)])
+    for name in solvers.NAMED:
+        if name.endswith(("CV", "IC")):
+            for n in (0, 1, 2, 3, 30):
+                c, i = solvers.solver(name)(flat[:n], flat[:n, 1])
+                assert not n or np.isfinite(c).all() and np.isfinite(i) and c[0] == 0, (name, n)
