@@ -11,8 +11,9 @@ benchmark is; a usual benchmark is one block, read once by each worker.
 
 Defined results: a null or empty text has no words and no hit; an item without words
 has no window and is never found; an item shorter than a window is one window; equal
-item_ids count once; equal rows are documents of their own; an empty benchmark finds
-nothing.
+item_ids count once; an item without an id is found like others (n_hit, contaminated,
+removal), all such items being one null at the end of items; equal rows are documents of
+their own; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
 class Grams:
     """The hash set of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int):
         texts = [[w.encode() for w in ws] for _, ws in items]
         self.vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in texts for w in ws))}
         self.values = pa.array([w.decode("utf-8", "surrogateescape") for w in self.vocab], pa.string())
@@ -125,7 +126,7 @@ def write_blocks(benchmark: DataFrame, scratch: base.Scratch, block_words: int,
             base.put_json(blocks[-1], now)
             now.clear()
 
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for r in rows.toLocalIterator():
         ws = [w.decode("utf-8", "surrogateescape") for w in words_of(r.t)]
         if ws:
@@ -170,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
                 for d in items:
                     out[d] = _without(out[d], is_hit[first[d] : first[d + 1]])
                 cols[text_col] = pa.array(out, cols[text_col].type)
-            cols |= {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "items": pa.array([sorted(items.get(d, ())) for d in range(len(counts))], pa.list_(pa.string())), "contaminated": pa.array(n_hit > 0)}
+            cols |= {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "items": pa.array([sorted(items.get(d, ()), key=lambda i: (i is None, i)) for d in range(len(counts))], pa.list_(pa.string())), "contaminated": pa.array(n_hit > 0)}
             done = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
             yield done.filter(pc.invert(done.column(len(cols) - 1))) if remove == "documents" else done
 

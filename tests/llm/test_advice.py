@@ -1,6 +1,8 @@
 """Whole jobs where an earlier round left rows or lines out."""
 
-from phasefold.llm import license_scan
+import pytest
+
+from phasefold.llm import decontaminate, license_scan
 
 
 def test_license_lines_without_cue(spark):
@@ -42,3 +44,22 @@ def test_license_prefilter_is_safe(spark):
     for r in got:
         if abs(best[r.id] - license_scan.LEAST) > near:
             assert (r.own_license is not None) == (best[r.id] >= license_scan.LEAST), texts[r.id]
+
+
+def test_benchmark_items_without_id(spark, tmp_path):
+    """A passage of an item without an id is found and removed, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    docs = spark.createDataFrame([(1, "a b secret passage c"), (2, "x secret passage z named one more y"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "Secret passage"), ("n", "named one more")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (2, [None], True), 2: (5, ["n", None], True), 3: (0, [], False)}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items, remove="documents").collect()] == [3]
+    spans = decontaminate.decontaminate(docs, items, remove="spans").where("doc_id = 1").first()
+    assert spans.text == "a b  c"
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    items.toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = [tuple(r) for r in decontaminate.op3_decontamination(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == sorted(db.sql(decontaminate.SQL).fetchall())
