@@ -16,8 +16,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked at 0.8, over any number of links, the one with the smallest id stays."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    gone = base.Scratch(spark, "gone").save(gone, "ids")
+    run = near_dedup.NearDuplicates(docs)
+    gone = base.Scratch(spark, "gone").save(run.kept().where("NOT kept").select("doc_id").distinct(), "ids")
+    run.scratch.close()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

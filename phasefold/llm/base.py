@@ -68,7 +68,7 @@ class Scratch:
         self.uri = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
-        return f"{self.uri}/{name}"
+        return f"{self.uri}/{name}" if name else self.uri
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
@@ -79,6 +79,10 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def close(self) -> None:
+        """Delete the folder, once nothing reads its tables any more."""
+        self.drop("")
+
 
 def put_file(uri: str, parts: list[bytes]) -> None:
     """Write a file from an executor: under another name first, then moved, so readers see whole files only."""

@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-Documents with equal sets of word shingles are one node. A node's sketch holds the 64
-smallest hashes of its set.
+Documents with equal sets of word shingles (by 128 bits of hash) are one node. A node's
+sketch holds the 64 smallest hashes of its set.
 
 Inverted lists. Two sets with similarity t share each of the smallest hashes of their
 union with chance t, so of 32 retained values they share at least `least` (12 for 0.85)
@@ -11,22 +11,24 @@ c of s values therefore share 4 among their first s - c + 4. That order puts val
 many nodes hold last (the most frequent ones are counted over all nodes), so passages
 that many documents quote do not fill the lists, and no list and no partner is capped.
 
-Links, in two rounds, so that a group of thousands of copies costs links in proportion
-to its members:
-1. each list links its members to one of them only (its hub);
-2. lists whose members do not all hang on one hub by then give the remaining pairs of
-   members with different hubs.
-Pairs of each round pass the size ratio, 4 shared list values, the union-sketch estimate
-(again with a chance below 1e-9 of losing a link; exact for small sets), and then an
-exact comparison of the full shingle sets of both texts. In the first round texts travel
-to their hubs (a hub with many partners is split), in the second once to their cluster
-of remaining pairs (a cluster beyond a bound is split by hubs). Components are found by large-star and small-star steps
-on tables in the shared folder.
+Clusters. Two nodes that share 4 list values and whose sizes fit may be linked; clusters
+are what such pairs connect. To find them without all pairs of a group of copies, each
+list pairs its members with one of them only, its hub; clusters found so far become one
+label, and lists that still hold several labels elect new hubs as long as that pays. What
+is left, pairs of members with different labels, is few and is looked at whole.
+
+Links. Each cluster's texts travel once, to one task; a cluster beyond a bound is cut
+into blocks, and each two blocks meet in a task of their own. There inverted lists of the
+32 retained values give each node its overlaps, the union-sketch estimate filters them
+(again with a chance below 1e-9 of losing a link; exact for small sets), and the full
+shingle sets are compared exactly; pairs that are connected by then need no look.
+Components of the links are found by large-star and small-star steps on tables in the
+shared folder.
 
 Defined results: null or empty texts have no shingles and no links; fewer than 5 words
 are one shingle; rows with the same id are one document with all their links; a null
-id is a component of its own; the smallest id represents a component; an empty table
-gives an empty result.
+id is a component of its own; the smallest id represents a component; ids may be of any
+type that can be ordered; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,10 +48,10 @@ from .line_dedup import mix
 SKETCH, LISTED, COMMON = 64, 32, 4
 #: values held by more nodes than RARE are ranked by their number of nodes; at most MOST_RANKED of them
 RARE, MOST_RANKED = 16, 200_000
-#: partners that one copy of a hub is compared with
-PER_HUB = 500
-#: shingles of the texts that one task holds at once
+#: shingles of a cluster's block of texts; a task holds two blocks
 CLUSTER = 2_000_000
+#: new hubs are elected while the pairs left are more than so many times their rows, at most so often
+PAIRS, ELECTIONS = 16, 6
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 
@@ -96,15 +98,22 @@ def _int64_lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """id, th (hash of the text), node (hash of the shingle set, null if empty), n, sketch."""
+    """id, th (hash of the text), node and other (hashes of the shingle set, null if empty), n, sketch."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.steps(batches):
             sets = shingle_sets(base.strings(base.col(b, "text")), width)
-            node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([base.col(b, "id"), base.col(b, "th"), node, pa.array([len(s) for s in sets], pa.int64()), _int64_lists([s[:SKETCH] for s in sets])], ["id", "th", "node", "n", "sketch"])
+            both = [divmod(set_hash(s), 1 << 64) if len(s) else (None, None) for s in sets]
+            node, other = (pa.array([h[k] if h[k] is None else h[k] >> 1 for h in both], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([base.col(b, "id"), base.col(b, "th"), node, other, pa.array([len(s) for s in sets], pa.int64()), _int64_lists([s[:SKETCH] for s in sets])], ["id", "th", "node", "other", "n", "sketch"])
+
+    return docs.mapInArrow(emit, f"id {kind}, th long, node long, other long, n long, sketch array<long>")
 
-    return docs.mapInArrow(emit, "id long, th long, node long, n long, sketch array<long>")
+
+def set_hash(s: np.ndarray) -> int:
+    """128 bits of a sorted shingle set."""
+    return xxhash.xxh3_128_intdigest(s.tobytes())
 
 
 def among(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int = 1 << 26) -> DataFrame:
@@ -113,7 +122,7 @@ def among(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int =
     It only spares shuffling others; an exact join follows.
     """
     n = wanted.count()
-    bits = max(1 << 10, 1 << (16 * n).bit_length())
+    bits = max(1 << 10, 1 << (32 * n).bit_length())
     if bits > most_bits:
         bits = most_bits
         if n > bits // 4:
@@ -131,10 +140,10 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
-        self.percent, self.t, self.width = percent, percent / 100, width
+        self.percent, self.t, self.width, self.id_col = percent, percent / 100, width, id_col
         self.scratch = base.Scratch(docs.sparkSession, "near")
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
         self.least = {k: least_shared(k, self.t) for k in (LISTED, SKETCH)}
         #: up to this size, sets and all that are similar to them lie whole in the lists
         self.whole = int(LISTED * self.t)
@@ -144,9 +153,10 @@ class NearDuplicates:
         return F.when(n <= self.whole, F.least(F.lit(COMMON), F.ceil(n * self.percent / 100))).otherwise(F.lit(min(COMMON, self.least[LISTED])))
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """v, node, n, hub, hub_n: the lists of at least two nodes."""
+        """v, node, n: the lists of at least two nodes."""
         listed = nodes.select(F.explode(F.slice("sketch", 1, LISTED)).alias("v")).groupBy("v").count()
-        top = listed.where(F.col("count") > RARE).orderBy(F.desc("count"), "v").limit(MOST_RANKED).toArrow().sort_by("v")
+        shared = self.scratch.save(listed.where("count >= 2"), "shared")
+        top = shared.where(F.col("count") > RARE).orderBy(F.desc("count"), "v").limit(MOST_RANKED).toArrow().sort_by("v")
         hot, times = (top.column(c).combine_chunks().to_numpy() for c in ("v", "count"))
         whole, percent, least = self.whole, self.percent, self.least[LISTED]
 
@@ -165,142 +175,116 @@ class NearDuplicates:
                 k = np.array([len(v) for v in out])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), pa.array(np.repeat(base.col(b, "node").to_numpy(), k)), pa.array(np.repeat(n, k))], ["v", "node", "n"])
 
-        rows = self.scratch.save(nodes.select("node", "n", "sketch").mapInArrow(first, "v long, node long, n long"), "first")
-        hubs = rows.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).where("m >= 2")
-        out = self.scratch.save(rows.join(hubs.select("v", "h.hub", "h.hub_n"), "v"), "lists")
-        self.scratch.drop("first")
+        rows = nodes.select("node", "n", "sketch").mapInArrow(first, "v long, node long, n long")
+        out = self.scratch.save(rows.join(shared.select("v"), "v"), "lists")
+        self.scratch.drop("shared")
         return out
 
-    def pairs(self, shared: DataFrame) -> DataFrame:
+    def maybe(self, pairs: DataFrame) -> DataFrame:
         """a, b of rows (a, an, b, bn), one per shared list value: those that may be linked so far."""
         fits = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * self.percent
-        some = shared.where(fits).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("m"))
+        some = pairs.where(fits).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("m"))
         return some.where(F.col("m") >= F.least(self.need(F.col("an")), self.need(F.col("bn")))).select("a", "b")
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame, label: str, clusters: bool = False) -> DataFrame:
-        """The pairs whose full sets are similar enough; with clusters, enough of them to connect the same."""
-        pairs = self.scratch.save(pairs, f"{label}-pairs")
-        own = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sk = among(nodes.select("node", "n", "sketch"), F.col("node"), own, F.col("node"))
-        both = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-        got = both.withColumn("u", union).withColumn("k", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")))
-        # a union below the sketch's size is the whole union: its share is exact
-        ok = F.when(F.size("u") < SKETCH, F.col("k") * 100 >= F.size("u") * self.percent).otherwise(F.col("k") >= self.least[SKETCH])
-        likely = self.scratch.save(got.where(ok).select("a", "b"), f"{label}-likely")
-        links = self.at_hubs(likely, nodes, label) if not clusters else self.in_clusters(likely, nodes, label)
-        self.scratch.drop(f"{label}-pairs", f"{label}-likely")
-        return links
-
-    def texts(self, wanted: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-        """(node, text) of the wanted nodes: each one's text is read and sent once."""
-        reps = nodes.select("node", "rep_id", "rep_th").join(wanted.select("node").distinct(), "node", "left_semi")
-        reps = self.scratch.save(reps, f"{label}-reps")
-        docs = among(self.docs, F.xxhash64("id", "th"), reps, F.xxhash64("rep_id", "rep_th"))
-        return docs.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "text")
-
-    def at_hubs(self, likely: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) that hold, b's text travelling to a's; hubs with many partners are split."""
-        parts = likely.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("parts"))
-        asks = likely.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("turn"))
-        heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("turn"))
-        asks = self.scratch.save(asks.unionByName(heads), f"{label}-asks")
-        sent = asks.join(self.texts(asks, nodes, label), "node").repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "turn", "node")
-        width, percent = self.width, self.percent
+    def clusters(self, nodes: DataFrame) -> DataFrame:
+        """node, comp: nodes that may be linked, over any number of others, have the same comp."""
+        now = self.lists(nodes).withColumn("label", F.col("node"))
+        found, left = None, None
+        for turn in range(ELECTIONS):
+            chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label")))
+            hubs = now.groupBy("v").agg(chosen.alias("h")).select("v", "h.hub", "h.hub_n", "h.hub_label")
+            star = now.join(hubs, "v").where("label <> hub_label").select(F.col("hub").alias("a"), F.col("hub_n").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
+            edges = self.maybe(star)
+            found = self.joined(edges if found is None else edges.unionByName(found), f"turn{turn}")
+            self.scratch.drop(f"turn{turn - 1}")
+            new = now.drop("label").join(found.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            per = new.groupBy("v", "label").agg(F.count("*").alias("m"))
+            # pairs of members with different labels, of lists that hold several
+            per = per.groupBy("v").agg(F.count("*").alias("labels"), F.sum("m").alias("rows"), F.sum(F.col("m").cast("double") * F.col("m")).alias("sq")).where("labels > 1")
+            now = self.scratch.save(new.join(per.select("v", "rows", "sq"), "v"), f"mixed{turn}")
+            self.scratch.drop("lists" if turn == 0 else f"mixed{turn - 1}")
+            rows, pairs = now.agg(F.count("*"), F.sum((F.col("rows") - F.col("sq") / F.col("rows")) / 2)).first()
+            now = now.drop("rows", "sq")
+            if (pairs or 0) <= PAIRS * rows or left is not None and pairs > 0.8 * left:
+                break
+            left = pairs
+        x, y = (now.select("v", F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("label").alias(f"l{s}")) for s in "ab")
+        rest = self.maybe(x.join(y, "v").where("a < b AND la <> lb"))
+        out = self.joined(rest.unionByName(found), "clusters")
+        self.scratch.drop(f"mixed{turn}", f"turn{turn}")
+        return out.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(out.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+
+    def joined(self, edges: DataFrame, name: str) -> DataFrame:
+        """(a, b): a is the smallest node that b, another one, is connected with."""
+        got = components(edges, self.scratch, f"{name}-cc")
+        out = self.scratch.save(got.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")), name)
+        self.scratch.drop(f"{name}-cc-0", f"{name}-cc-1")
+        return out
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, head = None, None
-            for b in base.steps(batches):
-                sets = shingle_sets(base.strings(base.col(b, "text")), width)
-                a_out, b_out = [], []
-                for a, part, node, turn, s in zip(*(base.col(b, c).to_pylist() for c in ("a", "part", "node", "turn")), sets):
-                    if turn == 0:
-                        at, head = (a, part), s
-                        continue
-                    if at != (a, part):
-                        raise RuntimeError("a hub's text is missing")
-                    if similar(head, s, percent):
-                        a_out.append(a)
-                        b_out.append(node)
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-        links = self.scratch.save(sent.mapInArrow(compare, "a long, b long"), f"{label}-links").distinct()
-        self.scratch.drop(f"{label}-asks", f"{label}-reps")
-        return links
-
-    def in_clusters(self, likely: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-        """Pairs that hold, as many as connect what all of them connect.
-
-        Each connected cluster of pairs is one group whose texts travel once; pairs that
-        are connected by then need no look. Clusters of more than CLUSTER shingles go
-        to their hubs instead.
-        """
-        found = components(likely, self.scratch, f"{label}-cc")
-        found = self.scratch.save(found.join(nodes.select("node", "n"), "node"), f"{label}-clusters")
-        sizes = found.groupBy("comp").agg(F.sum("n").alias("total"))
-        pairs = likely.join(found.select(F.col("node").alias("a"), "comp"), "a").join(sizes, "comp")
-        pairs = self.scratch.save(pairs.select("comp", "a", "b", (F.col("total") > CLUSTER).alias("large")), f"{label}-split")
-        rest = self.at_hubs(pairs.where("large").select("a", "b"), nodes, f"{label}-large")
-        small = found.join(sizes.where(F.col("total") <= CLUSTER), "comp").select("node", "comp")
-        held = small.join(self.texts(small, nodes, label), "node").select("comp", F.lit(0).alias("turn"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-        asked = pairs.where("NOT large").select("comp", F.lit(1).alias("turn"), "a", "b", F.lit(None).cast("string").alias("text"))
-        sent = held.unionByName(asked).repartition("comp").sortWithinPartitions("comp", "turn", "a", "b")
-        width, percent = self.width, self.percent
+    def links(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) that hold, as many as connect what all of them connect."""
+        own = self.scratch.save(clusters.join(nodes.select("node", "n", "rep_id", "rep_th"), "node"), "own")
+        blocks = own.groupBy("comp").agg(F.ceil(F.sum("n") / CLUSTER).cast("int").alias("blocks"))
+        asks = own.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        asks = asks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks = asks.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rep_id", "rep_th")
+        docs = among(self.docs, F.xxhash64("id", "th"), own, F.xxhash64("rep_id", "rep_th"))
+        sent = docs.join(asks, (F.col("id") == F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+        # of equal rows one text is sent
+        sent = sent.dropDuplicates(["rep_id", "rep_th", "i", "j"]).select("comp", "i", "j", "block", "node", "text")
+        sent = sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
+        width, percent, least, whole = self.width, self.percent, self.least, self.whole
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, sets, up = None, {}, {}
+            at, held = None, []
 
-            def root(x: int) -> int:
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
+            def close() -> pa.RecordBatch:
+                a, b = matches(*zip(*held), percent, whole, least) if len(held) > 1 else ([], [])
+                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
             for batch in base.steps(batches):
-                own = shingle_sets(base.strings(base.col(batch, "text")), width)
-                a_out, b_out = [], []
-                for comp, turn, a, b, s in zip(*(base.col(batch, c).to_pylist() for c in ("comp", "turn", "a", "b")), own):
-                    if comp != at:
-                        at, sets, up = comp, {}, {}
-                    if turn == 0:
-                        sets[a], up[a] = s, a
-                    elif (x := root(a)) != (y := root(b)) and similar(sets[a], sets[b], percent):
-                        up[max(x, y)] = min(x, y)
-                        a_out.append(a)
-                        b_out.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-        links = self.scratch.save(sent.mapInArrow(compare, "a long, b long"), f"{label}-links")
-        self.scratch.drop(f"{label}-clusters", f"{label}-split", f"{label}-reps")
-        return links.unionByName(rest)
+                sets = shingle_sets(base.strings(base.col(batch, "text")), width)
+                for comp, i, j, block, node, s in zip(*(base.col(batch, c).to_pylist() for c in ("comp", "i", "j", "block", "node")), sets):
+                    if at != (comp, i, j):
+                        if len(held) > 1:
+                            yield close()
+                        at, held = (comp, i, j), []
+                    held.append((node, s, block, i != j))
+            yield close()
+
+        out = self.scratch.save(sent.mapInArrow(compare, "a long, b long"), "links")
+        self.scratch.drop("own")
+        return out
 
-    def components(self) -> DataFrame:
-        """id, n_shingles, component_id; one row per row of docs."""
+    def nodes(self) -> tuple[DataFrame, DataFrame]:
+        """The nodes (node, n, sketch, rep_id, rep_th), and the rows (id, node, n)."""
         rows = self.scratch.save(sketches(self.docs, self.width), "sketches")
-        rep = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("rep")
-        found = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), rep)
-        nodes = self.scratch.save(found.where("rep IS NOT NULL").select("node", "n", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "nodes")
+
+        def distinct(rows: DataFrame, name: str) -> DataFrame:
+            rep = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("rep")
+            found = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), rep, F.min("other").alias("low"), F.max("other").alias("high"))
+            return self.scratch.save(found.select("node", "n", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "low", "high"), name)
+
+        found = distinct(rows, "nodes")
+        clash = found.where("low < high").select(F.col("node").alias("c_node"))
+        if clash.count():  # other sets under the same half of the hash: both halves name them
+            named = F.shiftrightunsigned(F.xxhash64("node", "other"), 1)
+            rows = rows.join(clash, F.col("node") == F.col("c_node"), "left").withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(named)).drop("c_node")
+            found = distinct(rows, "nodes-apart")
         members = self.scratch.save(rows.select("id", "node", "n"), "members")
         self.scratch.drop("sketches")
-        lists = self.lists(nodes)
-        star = lists.where("node <> hub").select(F.col("hub").alias("a"), F.col("hub_n").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
-        links = self.verified(self.pairs(star), nodes, "hubs")
-        # nodes with the same label are linked with the same hub, or are it
-        label = links.groupBy("b").agg(F.min("a").alias("label"))
-        marked = lists.join(label, F.col("node") == F.col("b"), "left").select("v", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-        marked = self.scratch.save(marked.join(mixed, "v", "left_semi"), "mixed")
-        x, y = (marked.select("v", F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("label").alias(f"l{s}")) for s in "ab")
-        # (hub, member) pairs of the first round come up again only if they failed it, or were one link too short
-        left = x.join(y, "v").where("a < b AND la <> lb AND la <> b AND lb <> a")
-        rest = self.verified(self.pairs(left), nodes, "rest", clusters=True)
-        self.scratch.drop("lists", "mixed")
+        # a set that only rows without an id hold has no links
+        return found.where("rep_th IS NOT NULL").drop("low", "high"), members
+
+    def components(self) -> DataFrame:
+        """id, n_shingles, component_id; one row per row of docs."""
+        nodes, members = self.nodes()
+        links = self.links(self.clusters(nodes), nodes)
         # one document may be several nodes, if rows share its id
         keyed = members.where("node IS NOT NULL AND id IS NOT NULL").select("id", "node")
         several = keyed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
         same = keyed.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        edges = links.unionByName(rest).unionByName(same)
-        whole = self.scratch.save(components(edges, self.scratch), "components")
+        whole = self.scratch.save(components(links.unionByName(same), self.scratch), "components")
         low = nodes.select("node", "rep_id").join(whole, "node", "left").select("node", "rep_id", F.coalesce("comp", "node").alias("comp"))
         least = low.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
         names = low.join(least, "comp").select("node", "component_id")
@@ -308,14 +292,59 @@ class NearDuplicates:
         own = F.col("node").isNull() | F.col("id").isNull()
         return out.select("id", F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets share at least percent of their union."""
-    if len(x) < len(y):
-        x, y = y, x
-    i = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[i] == y).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    def kept(self) -> DataFrame:
+        """id_col, n_shingles, component_id, kept per row of docs; it reads tables of the scratch folder."""
+        return self.components().select(F.col("id").alias(self.id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def matches(nodes: tuple[int, ...], sets: tuple[np.ndarray, ...], block: tuple[int, ...], apart: tuple[bool, ...], percent: int, whole: int, least: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Pairs of the nodes that share at least percent of their union, as many as connect the same; if apart, pairs of different blocks only."""
+    size = np.array([len(s) for s in sets])
+    first = base.starts_of(size)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)  # numbers in the order of the hashes
+    n, none = len(sets), len(values)
+    sketch = np.full((n, SKETCH), none)
+    for i in range(n):
+        sketch[i, : size[i]] = code[first[i] : first[i] + min(SKETCH, size[i])]
+    held = np.minimum(size, SKETCH)
+    asked = np.where(size <= whole, -(-percent * size // 100), least[LISTED])
+    # inverted lists of the retained values
+    listed = sketch[:, :LISTED].ravel()
+    order = np.argsort(listed, kind="stable")
+    owner, begins = order // LISTED, np.searchsorted(listed[order], np.arange(none + 1))
+    side, apart = np.array(block), apart[0]
+    label, rank, mark = np.arange(n), np.zeros(none + 1, np.int64), np.zeros(none, bool)
+    a, b = [], []
+    for x in range(n - 1):
+        lists = [owner[begins[v] : begins[v + 1]] for v in sketch[x, : min(LISTED, size[x])].tolist()]
+        overlap = np.bincount(np.concatenate(lists), minlength=n)[x + 1 :]
+        y = x + 1 + np.flatnonzero(overlap >= np.minimum(asked[x + 1 :], asked[x]))
+        fits = (label[y] != label[x]) & (np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent)
+        y = y[fits & (side[y] != side[x])] if apart else y[fits]
+        if not len(y):
+            continue
+        own = sketch[x, : held[x]]
+        rank[own] = np.arange(1, len(own) + 1)
+        at = rank[sketch[y]]
+        rank[own] = 0
+        common = at > 0
+        # a common value's rank in the union: its ranks in both less the common ones up to it
+        among_least = common & (np.arange(1, SKETCH + 1) + at - np.cumsum(common, 1) <= SKETCH)
+        union = held[x] + held[y] - common.sum(1)
+        # a union below the sketch's size is the whole union: its share is exact
+        y = y[np.where(union < SKETCH, common.sum(1) * 100 >= union * percent, among_least.sum(1) >= least[SKETCH])]
+        if not len(y):
+            continue
+        mark[code[first[x] : first[x + 1]]] = True
+        k = size[y]
+        both = np.add.reduceat(mark[code[np.repeat(first[y] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]].astype(np.int64), np.cumsum(k) - k)
+        mark[code[first[x] : first[x + 1]]] = False
+        for z in y[100 * both >= percent * (size[x] + k - both)].tolist():
+            if label[z] != label[x]:
+                label[label == label[z]] = label[x]
+                a.append(nodes[x])
+                b.append(nodes[z])
+    return a, b
 
 
 def components(edges: DataFrame, scratch: base.Scratch, label: str = "cc") -> DataFrame:
@@ -330,10 +359,9 @@ def components(edges: DataFrame, scratch: base.Scratch, label: str = "cc") -> Da
         small = large.join(down, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         step += 1
-        now = scratch.save(small, f"{label}-{step}")
+        now = scratch.save(small, f"{label}-{step % 2}")
         sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(CAST(xxhash64(b, a) % 1000003 AS LONG))")).first()
-        scratch.drop(f"{label}-{step - 1}")
-        if tuple(sums) == seen:
+        if tuple(sums) == seen or not sums[0]:
             break
         seen = tuple(sums)
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
@@ -341,8 +369,7 @@ def components(edges: DataFrame, scratch: base.Scratch, label: str = "cc") -> Da
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept (whether the id is its component's smallest) per row of docs."""
-    got = NearDuplicates(docs, percent, width, id_col, text_col).components()
-    return got.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return NearDuplicates(docs, percent, width, id_col, text_col).kept()
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
