@@ -18,6 +18,22 @@ from .plans.sweeps import predict_nonlinear as PredictNonlinear
 from .plans.sweeps import smap_theta as SMap_theta
 from .plans.sweeps import smap_tp as SMap_Tp
 
+from .sources.io import SAMPLES, sample
+
+#: one table at a time serves wide tables too, as columns are gathered one by one
+EDimColsBlock = EmbedDim_Columns
+
+
+def Examples(spark) -> dict:
+    """One result per operator on the samples."""
+    from .examples import examples
+
+    return examples(spark)
+
+
+def sampleData(spark) -> dict:
+    """The computed samples by name."""
+    return {name: sample(spark, name) for name in SAMPLES}
 
 
 def MakeBlock(*_, **__):
@@ -26,6 +42,6 @@ def MakeBlock(*_, **__):
 
 
 __all__ = [
-    "CCM", "CCM_Matrix", "ComputeError", "CrossMap_ColumnList", "CrossMap_Columns", "CrossMap_Matrix", "Embed", "EmbedDimension",
+    "CCM", "CCM_Matrix", "EDimColsBlock", "Examples", "sampleData", "ComputeError", "CrossMap_ColumnList", "CrossMap_Columns", "CrossMap_Matrix", "Embed", "EmbedDimension",
     "EmbedDim_Columns", "MakeBlock", "Multiview", "PredictInterval", "PredictNonlinear", "SMap", "SMap_Tp", "SMap_theta", "Simplex", "SurrogateData",
 ]

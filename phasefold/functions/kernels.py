@@ -5,6 +5,7 @@ A row is a position in the series. NaN stands for a missing value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,6 +46,7 @@ class Problem:
     overlap: bool = False
     drop_last: bool = False
     short: int = 0
+    finder: Callable | None = None
     blocks: tuple[int, int] = field(default=(0, 1))
 
 
@@ -64,6 +66,8 @@ def problem(columns: list[np.ndarray], y: np.ndarray, spec: dict, valid: np.ndar
     overlap = bool(np.intersect1d(lib, pred).size)
     whole = np.isfinite(X).all(1)
     lib = lib[(lib >= 0) & (lib < n)]
+    if spec.get("whole_only") and not (whole[lib].all() and whole[np.concatenate(parts)].all()):
+        raise ValueError("rows miss coordinates: ignoreNan=True leaves these out")
     lib = lib[whole[lib]]
     k = spec.get("knn", 0)
     if k < 1:
@@ -123,6 +127,13 @@ def neighbours(p: Problem, pred: np.ndarray | None = None) -> tuple[np.ndarray,
     rows, dist = np.full((len(pred), k), -1), np.full((len(pred), k), np.inf)
     if not k:
         return rows, dist
+    if p.finder is not None:
+        rows, dist = p.finder(p.X, pred, p.lib, k, p.radius)
+        few = np.flatnonzero(~np.isfinite(dist).all(1)) if p.radius else []
+        if len(few):  # too few outside the radius: it does not hold for these rows
+            p.short += len(few)
+            rows[few], dist[few] = p.finder(p.X, pred[few], p.lib, k, 0)
+        return rows, dist
     for lo, hi in chunks(len(pred), len(p.lib)):
         q = pred[lo:hi]
         plain = distances(p.X, q, p.lib)
@@ -139,6 +150,59 @@ def neighbours(p: Problem, pred: np.ndarray | None = None) -> tuple[np.ndarray,
     return rows, dist
 
 
+#: rows of a leaf
+LEAF = 48
+
+
+def leaves(X: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows cut in halves along their widest coordinate until no part has more than LEAF: the leaves of a k-d tree."""
+    todo, out = [rows], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            out.append(np.sort(own))
+            continue
+        width = X[own].max(0) - X[own].min(0)
+        half = len(own) // 2
+        order = np.argpartition(X[own, int(width.argmax())], half)
+        todo += [own[order[half:]], own[order[:half]]]
+    return out
+
+
+def tree_finder(X: np.ndarray, pred: np.ndarray, lib: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """neighbours() by two k-d trees: leaves of prediction rows visit leaves of library rows by the distance of their boxes, until none can hold a nearer row.
+
+    Equal distances go to the smaller row, as in the search of all pairs.
+    """
+    rows, dist = np.full((len(pred), k), -1), np.full((len(pred), k), np.inf)
+    if not len(pred) or not len(lib):
+        return rows, dist
+    own = leaves(X, lib)
+    low, high = np.array([X[r].min(0) for r in own]), np.array([X[r].max(0) for r in own])
+    place = np.zeros(len(X), int)
+    place[pred] = np.arange(len(pred))
+    for q in leaves(X, pred):
+        gap = np.maximum(0, np.maximum(low - X[q].max(0), X[q].min(0) - high))
+        least = (gap * gap).sum(1) * (1 - 1e-12)  # sums may round up
+        order = np.argsort(least, kind="stable")
+        best, who, at, step = np.full((len(q), k), np.inf), np.full((len(q), k), len(X)), 0, 2
+        while at < len(order) and least[order[at]] <= best[:, -1].max():
+            new = np.concatenate([own[i] for i in order[at : at + step]])
+            d2 = masked(distances(X, q, new), q, new, radius)
+            both, names = np.concatenate([best, d2], 1), np.concatenate([who, np.broadcast_to(new, d2.shape)], 1)
+            names = np.where(np.isfinite(both), names, len(X))
+            first = np.lexsort((names, both), axis=1)[:, :k]
+            best, who = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+            at, step = at + step, min(2 * step, 16)
+        mine = place[q]
+        dist[mine], rows[mine] = np.sqrt(best), np.where(np.isfinite(best), who, -1)
+    return rows, dist
+
+
+#: by name; others may be given as functions (X, pred, lib, k, radius) -> (rows, distances), rows -1 and inf where there are fewer
+FINDERS = {"arrays": None, "pdist": None, "kdtree": tree_finder}
+
+
 def simplex_weights(dist: np.ndarray) -> np.ndarray:
     return np.exp(-dist / np.maximum(dist[:, :1], 1e-6)) if dist.shape[1] else dist
 
@@ -320,33 +384,43 @@ def projected_rho(p: Problem, mu: np.ndarray, pred: np.ndarray) -> float:
 
 def ccm(columns: list[np.ndarray], y: np.ndarray, spec: dict, sizes: list[int], samples: int, seed, only: int, valid: np.ndarray | None = None) -> list[dict[str, float]]:
     """Errors of each sample for library size sizes[only]; random draws are those of a run over all sizes in order."""
-    n = len(y)
-    p = problem(columns, y, spec | {"lib": [1, n], "pred": [1, n], "strict": False}, None)
+    return ccm_targets(columns, [y], spec, sizes, samples, seed, valid, only)[0][0]
+
+
+def ccm_targets(columns: list[np.ndarray], ys: list[np.ndarray], spec: dict, sizes: list[int], samples: int, seed, valid: np.ndarray | None = None, only: int | None = None) -> list[list[list[dict[str, float]]]]:
+    """Errors by library size (all, or sizes[only]), target and sample. Distances are taken once for all, neighbours once for all targets."""
+    n = len(columns[0])
+    if len(ys) > 1 and len(ys) * len(sizes) * samples * n > 4 * CELLS:  # halves, so that forecasts held at once are bounded
+        parts = [ccm_targets(columns, own, spec, sizes, samples, seed, valid, only) for own in (ys[: len(ys) // 2], ys[len(ys) // 2 :])]
+        return [a + b for a, b in zip(*parts)]
+    p = problem(columns, columns[0], spec | {"lib": [1, n], "pred": [1, n], "strict": False}, None)
     lib = p.lib if valid is None else p.lib[valid[p.lib]]
-    k = p.k
-    draws = np.random.default_rng(seed)
-    for size in sizes[:only]:
-        for _ in range(samples):
-            draws.choice(len(lib), size=min(size, len(lib)), replace=False)
-    # in row order, so that equal distances go to the smaller row here too
-    subsets = [np.sort(draws.choice(len(lib), size=min(sizes[only], len(lib)), replace=False)) for _ in range(samples)]
-    mu = np.full((samples, len(p.pred)), np.nan)
+    draws, subsets = np.random.default_rng(seed), []
+    for i, size in enumerate(sizes[: len(sizes) if only is None else only + 1]):
+        # in row order, so that equal distances go to the smaller row here too
+        own = [np.sort(draws.choice(len(lib), size=min(size, len(lib)), replace=False)) for _ in range(samples)]
+        if only is None or i == only:
+            subsets.append(own)
+    mu = np.full((len(subsets), len(ys), samples, len(p.pred)), np.nan)
     for lo, hi in chunks(len(p.pred), len(lib)):
         d2 = masked(distances(p.X, p.pred[lo:hi], lib), p.pred[lo:hi], lib, p.radius)
-        for s, sub in enumerate(subsets):
-            own = d2[:, sub]
-            at = top_k(own, min(k, own.shape[1]))
-            d = np.sqrt(np.take_along_axis(own, at, 1))
-            mu[s, lo:hi] = weighted_mean(np.where(np.isfinite(d), lib[sub[at]], -1), d, y, p.Tp)[0]
-    out = []
-    for m in mu:
+        for i, own in enumerate(subsets):
+            for s, sub in enumerate(own):
+                at = top_k(part := d2[:, sub], min(p.k, len(sub)))
+                d = np.sqrt(np.take_along_axis(part, at, 1))
+                rows = np.where(np.isfinite(d), lib[sub[at]], -1)
+                for t, y in enumerate(ys):
+                    mu[i, t, s, lo:hi] = weighted_mean(rows, d, y, p.Tp)[0]
+
+    def error(y: np.ndarray, m: np.ndarray) -> dict[str, float]:
         m = np.roll(m, p.Tp)
         if p.Tp > 0:
             m[: p.Tp] = np.nan
         elif p.Tp < 0:
             m[p.Tp :] = np.nan
-        out.append(errors(y[p.pred], m))
-    return out
+        return errors(y[p.pred], m)
+
+    return [[[error(y, m) for m in mu[i, t]] for t, y in enumerate(ys)] for i in range(len(subsets))]
 
 
 def generate(x: np.ndarray, t: np.ndarray, spec: dict, steps: int, theta: float | None = None, solver=None, valid: np.ndarray | None = None):

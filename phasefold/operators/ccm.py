@@ -7,6 +7,8 @@ direction and library size, and all samples of it share one distance matrix.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import kernels
 from ..functions.indices import names, numbers
 from ..plans.grid import Series, run
 from ..sources.series import quoted
-from .projection import request
+from .projection import Request, request
 
 
 def library_sizes(value) -> list[int]:
@@ -32,10 +34,11 @@ def library_sizes(value) -> list[int]:
     return sizes
 
 
-def ccm(df: DataFrame, columns=None, target=None, libSizes="", sample: int = 0, E: int = 0, Tp: int = 0, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, seed=None, embedded: bool = False, validLib=None, includeData: bool = False, noTime: bool = False, ignoreNan: bool = True, time: str | None = None, series=None, n: int | None = None):
+def ccm(df: DataFrame, columns=None, target=None, libSizes="", sample: int = 0, E: int = 0, Tp: int = 0, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, seed=None, embedded: bool = False, validLib=None, includeData: bool = False, noTime: bool = False, ignoreNan: bool = True, returnObject: bool = False, time: str | None = None, series=None, n: int | None = None):
     """LibSize, "column:target", "target:column": mean rho over samples for each library size.
 
-    includeData: a dict of LibMeans and PredictStats (direction, LibSize, sample and errors).
+    includeData: a dict of LibMeans and PredictStats (direction, LibSize, sample and errors);
+    returnObject: a CCMResult with both, and the request.
     """
     cols, targets = names(columns), names(target)
     sizes = library_sizes(libSizes)
@@ -57,10 +60,19 @@ def ccm(df: DataFrame, columns=None, target=None, libSizes="", sample: int = 0,
     keys = [*map(quoted, req.packed.keys)]
     rho = F.round("rho", 5)
     mean = got.groupBy(*keys, "LibSize").agg(*(F.avg(F.when(F.col("way") == w, rho)).alias(x) for w, x in enumerate(names_of)))
-    if not includeData:
+    if not includeData and not returnObject:
         return mean
     stats = got.select(*keys, F.when(F.col("way") == 0, names_of[0]).otherwise(names_of[1]).alias("direction"), "LibSize", "sample", *(F.round(c, 5).alias(c) for c in ("rho", "MAE", "mean_abs_err", "CAE", "RMSE")))
-    return {"LibMeans": mean, "PredictStats": stats}
+    return CCMResult(mean, stats, req) if returnObject else {"LibMeans": mean, "PredictStats": stats}
+
+
+@dataclass
+class CCMResult:
+    """A convergent cross map with what it was made from."""
+
+    LibMeans: DataFrame
+    PredictStats: DataFrame
+    request: Request
 
 
 CCM_ROWS = "way long, LibSize long, sample long, rho double, MAE double, mean_abs_err double, CAE double, RMSE double"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -18,6 +18,23 @@ from .embed import lag_name
 from .projection import ROWS, of_series, shaped, simplex_kernel
 
 
+def combinations_from(items: list, size: int, first: int, stop: int) -> Iterator[tuple]:
+    """Combinations number first to stop - 1 in the order of itertools.combinations, without those before."""
+    n, at, left, low = len(items), [], first, 0
+    for k in range(size, 0, -1):
+        while (more := math.comb(n - low - 1, k - 1)) <= left:
+            left -= more
+            low += 1
+        at.append(low)
+        low += 1
+    for _ in range(first, stop):
+        yield tuple(items[i] for i in at)
+        k = next((i for i in reversed(range(size)) if at[i] < n - size + i), None)
+        if k is None:
+            return
+        at[k:] = range(at[k] + 1, at[k] + 1 + size - k)
+
+
 class _Views:
     """A series whose columns are also its lags, by name."""
 
@@ -53,27 +70,27 @@ def multiview(df: DataFrame, columns=None, target=None, lib="", pred="", D: int
         warnings.warn(f"D = {D} exceeds the {len(use) * E} coordinates and is set to that", stacklevel=2)
         D = len(use) * E
     coords = [lag_name(c, tau, j) for j in range(E) for c in use]
-    combos = list(itertools.combinations(coords, D))
-    most = multiview or math.isqrt(len(combos))
-    if most > len(combos):
-        warnings.warn(f"multiview = {most} exceeds the {len(combos)} combinations and is set to that", stacklevel=2)
-        most = len(combos)
+    count = math.comb(len(coords), D)
+    most = multiview or math.isqrt(count)
+    if most > count:
+        warnings.warn(f"multiview = {most} exceeds the {count} combinations and is set to that", stacklevel=2)
+        most = count
     packed = pack(df, [*use, targets[0]], time, noTime)
     base = {"target": targets[0], "lib": lib, "Tp": Tp, "knn": knn, "tau": tau, "E": D, "radius": exclusionRadius, "embedded": True, "of": use, "lags": E}
 
     def rank(s: Series, spec: dict) -> dict:
         v, rho = _Views(s, spec), []
-        for c in spec["combos"]:
-            p = of_series(v, spec | {"columns": c})
+        for c in combinations_from(coords, D, spec["first"], spec["stop"]):
+            p = of_series(v, spec | {"columns": list(c)})
             rho.append(kernels.projected_rho(p, kernels.simplex(p, p.pred)[0], p.pred))
-        return {"combo": spec["ids"], "rho": rho}
+        return {"combo": list(range(spec["first"], spec["stop"])), "rho": rho}
 
-    # combinations are cut into one grid row per task, so that a task packs the series once
-    tasks = min(len(combos), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grid = [base | {"pred": lib if trainLib else pred, "ids": list(range(i, len(combos), tasks)), "combos": combos[i::tasks]} for i in range(tasks)]
+    # spans of combinations, one grid row per task; each task makes its own
+    tasks = min(count, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grid = [base | {"pred": lib if trainLib else pred, "first": count * i // tasks, "stop": count * (i + 1) // tasks} for i in range(tasks)]
     ranked = run(packed, grid, rank, "combo long, rho double")
-    best = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rho").desc_nulls_last(), "combo"))).where(F.col("rank") <= most).select("combo").collect()
-    chosen = [r.combo for r in best]  # at most `multiview` numbers
+    chosen = [r.combo for r in ranked.orderBy(F.col("rho").desc_nulls_last(), "combo").limit(most).select("combo").collect()]  # at most `multiview` numbers
+    combos = {c: list(next(combinations_from(coords, D, c, c + 1))) for c in chosen}
 
     def forecast(s: Series, spec: dict) -> dict:
         out = simplex_kernel(_Views(s, spec), spec)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices
 from ..functions.indices import names
-from ..sources.series import clean, indexed, quoted
+from ..sources.series import as_double, clean, indexed, quoted, typed_time
 from .embed import lag_columns
 
 #: a library of at most so many rows is sent to all tasks; a larger one is joined by shuffled blocks
@@ -40,11 +40,11 @@ def spans(rows) -> list[tuple[int, int]]:
 
 
 def state(df: DataFrame, columns: list[str], target: str, E: int, tau: int, embedded: bool, time: str) -> DataFrame:
-    """_i, time, y, emb (array; null where a coordinate is missing) of a single series."""
+    """_i, time (as a double), y, emb (array; null where a coordinate is missing) of a single series."""
     base = indexed(df, time)
     lags = [clean(quoted(c)) for c in columns] if embedded else lag_columns(columns, E, tau, F.col("_i"), [])
     named = [c.alias(f"e{j}") for j, c in enumerate(lags)]
-    rows = base.select("_i", quoted(time).alias("time"), clean(quoted(target)).alias("y"), *named)
+    rows = base.select("_i", as_double(base, time)[0].alias("time"), clean(quoted(target)).alias("y"), *named)
     whole = F.lit(True)
     for j in range(len(named)):
         whole = whole & F.col(f"e{j}").isNotNull()
@@ -83,13 +83,18 @@ def project(near: DataFrame, state_rows: DataFrame, Tp: int) -> DataFrame:
     return got.select("p", "prediction", (spread / F.col("t")).alias("variance"))
 
 
-def align(projected: DataFrame, state_rows: DataFrame, segments: list[tuple[int, int]], Tp: int) -> DataFrame:
-    """segment, _i, Time, Observations, Predictions, Pred_Variance over each segment and |Tp| rows more; times are those of the series, or null beyond it."""
+def align(projected: DataFrame, state_rows: DataFrame, segments: list[tuple[int, int]], Tp: int, kind, n: int) -> DataFrame:
+    """segment, _i, Time, Observations, Predictions, Pred_Variance over each segment and |Tp| rows more; times beyond the series go on with its first step."""
     spark = state_rows.sparkSession
     parts = spark.createDataFrame([(s, a + min(Tp, 0), b + max(Tp, 0), a, b) for s, (a, b) in enumerate(segments)], "segment int, lo long, hi long, a long, b long")
     spine = parts.select("segment", F.explode(F.sequence("lo", "hi")).alias("_i"), "a", "b").withColumn("src", F.when((F.col("_i") - Tp).between(F.col("a"), F.col("b")), F.col("_i") - Tp))
     out = spine.join(state_rows.select("_i", "time", "y"), "_i", "left").join(projected, F.col("src") == F.col("p"), "left")
-    return out.select("segment", "_i", F.col("time").alias("Time"), F.col("y").alias("Observations"), F.col("prediction").alias("Predictions"), F.col("variance").alias("Pred_Variance"))
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("time")))
+    # one row: where the series starts, ends and how it steps
+    edge = state_rows.where(F.col("_i").isin(0, 1, n - 1)).agg(at(0).alias("t_first"), at(n - 1).alias("t_last"), F.coalesce(at(1) - at(0), F.lit(1.0)).alias("t_step"))
+    out = out.crossJoin(F.broadcast(edge))
+    beyond = F.when(F.col("_i") < 0, F.col("t_first") + F.col("_i") * F.col("t_step")).when(F.col("_i") >= n, F.col("t_last") + (F.col("_i") - n + 1) * F.col("t_step"))
+    return out.select("segment", "_i", typed_time(F.coalesce(beyond, "time"), kind).alias("Time"), F.col("y").alias("Observations"), F.col("prediction").alias("Predictions"), F.col("variance").alias("Pred_Variance"))
 
 
 def simplex_join(df: DataFrame, columns, target: str, lib, pred, E: int, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, time: str | None = None, n: int | None = None) -> DataFrame:
@@ -106,4 +111,4 @@ def simplex_join(df: DataFrame, columns, target: str, lib, pred, E: int, Tp: int
     ask = [(a - 1, b - 1) for a, b in indices.pairs(pred, "pred")]
     near = nearest(rows, within(F.col("_i"), spans(learn)), within(F.col("_i"), ask), knn or E + 1, exclusionRadius, E if embedded else E * len(cols), n)
     parts = [(int(s[0]), int(s[-1])) for s in indices.segments(pred, E, tau, embedded, n) if len(s)]
-    return align(project(near, rows, Tp), rows, parts, Tp)
+    return align(project(near, rows, Tp), rows, parts, Tp, df.schema[at].dataType, n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,10 +54,12 @@ def request(df: DataFrame, columns, target, lib, pred, E=0, Tp=1, knn=0, tau=-1,
     return Request(packed, spec, cols, targets[0])
 
 
-def of_series(s: Series, spec: dict) -> kernels.Problem:
+def of_series(s: Series, spec: dict, finder: Callable | None = None) -> kernels.Problem:
     n = len(s.t)
     spec = spec | {k: spec[k] or [1, n] for k in ("lib", "pred")}
-    return kernels.problem([s[c] for c in spec["columns"]], s[spec["target"]], spec, s.valid)
+    p = kernels.problem([s[c] for c in spec["columns"]], s[spec["target"]], spec, s.valid)
+    p.finder = finder
+    return p
 
 
 def simplex_kernel(s: Series, spec: dict) -> dict:
@@ -93,23 +95,29 @@ def simplex(df: DataFrame, columns=None, target=None, lib="", pred="", E: int =
     lib and pred are 1-based inclusive (start, stop) pairs of rows. series: key columns of a
     panel; each of its series is projected alone. n: rows of a single long series, if known;
     it is checked and split over tasks. neighbor_algorithm "join" plans the same in Spark's own
-    operators for a single series. Missing values: a row with a missing coordinate is neither
-    learned from nor predicted; a missing target of a neighbour gives a missing prediction.
+    operators for a single series, "kdtree" finds neighbours by k-d trees instead of all
+    distances (long series in few dimensions), with the same ties, and a function (X, pred,
+    lib, k, radius) -> (rows, distances) finds them in its own way. Missing values: a row with a missing coordinate is neither
+    learned from nor predicted (with ignoreNan=False such a row is an error, as neighbours of
+    it are not defined); a missing target of a neighbour gives a missing prediction.
     returnObject: a Result with neighbours.
     """
     if neighbor_algorithm == "join":
+        for name, given in (("validLib", validLib is not None), ("series", bool(names(series))), ("noTime", noTime), ("generateSteps", generateSteps > 0), ("returnObject", returnObject)):
+            if given:
+                raise ValueError(f"neighbor_algorithm join does not take {name}")
         return simplex_join(df, columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, time, n)
-    if neighbor_algorithm not in ("arrays", "kdtree", "pdist"):
+    if not callable(neighbor_algorithm) and neighbor_algorithm not in kernels.FINDERS:
         raise ValueError(f"no neighbor_algorithm {neighbor_algorithm}")
-    if not ignoreNan:
-        warnings.warn("rows with missing coordinates are left out all the same", stacklevel=2)
+    finder = neighbor_algorithm if callable(neighbor_algorithm) else kernels.FINDERS[neighbor_algorithm]
     if generateSteps > 0:
         return generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, generateSteps, generateConcat, time, series)
     req = request(df, columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, time, series, n)
-    got = run(req.packed, blocks(req.spec, n, req.packed), simplex_kernel, ROWS + ", n_short long")
+    req.spec["whole_only"] = not ignoreNan
+    got = run(req.packed, blocks(req.spec, n, req.packed), lambda s, spec: simplex_rows(s, of_series(s, spec, finder)), ROWS + ", n_short long")
     out = shaped(req.packed, got)
     if returnObject:
-        return Result(out, neighbours(req), req, got.groupBy().agg(F.max("n_short").alias("n_short")))
+        return Result(out, neighbours(req, finder), req, got.groupBy().agg(F.max("n_short").alias("n_short")))
     return out
 
 
@@ -146,11 +154,11 @@ class Result:
     SingularValues: DataFrame | None = None
 
 
-def neighbours(req: Request) -> DataFrame:
+def neighbours(req: Request, finder: Callable | None = None) -> DataFrame:
     """Series keys, p, rk (from 1), l, d."""
 
     def kernel(s: Series, spec: dict) -> dict:
-        p = of_series(s, spec)
+        p = of_series(s, spec, finder)
         rows, dist = kernels.neighbours(p)
         k = rows.shape[1]
         keep = rows.ravel() >= 0
@@ -172,7 +180,7 @@ def smap(df: DataFrame, columns=None, target=None, lib="", pred="", E: int = 0,
     if generateSteps > 0:
         return generate(df, columns, target, lib, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, generateSteps, generateConcat, time, series, theta, fit)
     req = request(df, columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, validLib, noTime, time, series, n)
-    req.spec |= {"smap": True, "theta": float(theta)}
+    req.spec |= {"smap": True, "theta": float(theta), "whole_only": not ignoreNan}
 
     def kernel(s: Series, spec: dict) -> dict:
         p = of_series(s, spec)

@@ -29,6 +29,22 @@ def ebisuzaki(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out * (x.std() / s) if s > 0 else out
 
 
+def cosines(y: np.ndarray) -> np.ndarray:
+    """The orthonormal cosine transform (type II), by one FFT."""
+    n = len(y)
+    k = np.arange(n)
+    c = (np.fft.rfft(np.concatenate([y, y[::-1]]))[:n] * np.exp(-0.5j * np.pi * k / n)).real / 2
+    return c * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
+
+
+def of_cosines(c: np.ndarray) -> np.ndarray:
+    """The series of which cosines() are c."""
+    n = len(c)
+    k = np.arange(n)
+    z = np.concatenate([c / np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n)) * 2 * np.exp(0.5j * np.pi * k / n), [0]])
+    return np.fft.irfft(z, 2 * n)[:n]
+
+
 def smooth_season(y: np.ndarray, smooth: float) -> np.ndarray:
     """A smoothing curve whose summed squared residuals come to `smooth`, by penalised second differences.
 
@@ -38,15 +54,13 @@ def smooth_season(y: np.ndarray, smooth: float) -> np.ndarray:
     if n < 4:
         return y.copy()
     # eigenvectors of second differences with free ends are cosines
-    k = np.arange(n)
-    basis = np.cos(np.pi * np.outer(k + 0.5, k) / n) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
-    c, ev = basis.T @ y, (2 - 2 * np.cos(np.pi * k / n)) ** 2
+    c, ev = cosines(y), (2 - 2 * np.cos(np.pi * np.arange(n) / n)) ** 2
     lo, hi = -30.0, 40.0
     for _ in range(100):
         mid = (lo + hi) / 2
         left = ((c * (1 - 1 / (1 + np.exp(mid) * ev))) ** 2).sum()
         lo, hi = (mid, hi) if left < smooth else (lo, mid)
-    return basis @ (c / (1 + np.exp(lo) * ev))
+    return of_cosines(c / (1 + np.exp(lo) * ev))
 
 
 def surrogate_data(df: DataFrame, column: str | None = None, method: str = "ebisuzaki", numSurrogates: int = 10, alpha: float | None = None, smooth: float = 0.8, seed: int = 0, digits: int = 8, time: str | None = None, noTime: bool = False, series=None, long: bool = False) -> DataFrame:

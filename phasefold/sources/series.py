@@ -28,15 +28,20 @@ class Packed:
 
     def time(self, c: Column) -> Column:
         """A time in packed form as the series' own type."""
-        if isinstance(self.time_type, (T.TimestampType, T.StringType)):
-            return F.timestamp_micros(F.round(c * 1e6).cast("long"))
-        if isinstance(self.time_type, T.TimestampNTZType):
-            return F.timestamp_micros(F.round(c * 1e6).cast("long")).cast("timestamp_ntz")
-        if isinstance(self.time_type, T.DateType):
-            return F.date_add(F.lit("1970-01-01").cast("date"), F.round(c / 86400).cast("int"))
-        if isinstance(self.time_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            return F.round(c).cast("long")
-        return c.cast("double")
+        return typed_time(c, self.time_type)
+
+
+def typed_time(c: Column, kind: T.DataType) -> Column:
+    """A time as a double (see as_double) as the type it has in its table; text becomes a timestamp."""
+    if isinstance(kind, (T.TimestampType, T.StringType)):
+        return F.timestamp_micros(F.round(c * 1e6).cast("long"))
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_micros(F.round(c * 1e6).cast("long")).cast("timestamp_ntz")
+    if isinstance(kind, T.DateType):
+        return F.date_add(F.lit("1970-01-01").cast("date"), F.round(c / 86400).cast("int"))
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.round(c).cast("long")
+    return c.cast("double")
 
 
 def quoted(name: str) -> Column:
@@ -103,7 +108,16 @@ def indexed(df: DataFrame, time: str, series=None) -> DataFrame:
 
 
 def column_rows(df: DataFrame, columns, time: str | None = None, noTime: bool = False) -> DataFrame:
-    """(name, v): one row per column of a single series, its values in time order; many-column plans join these by name."""
-    p = pack(df, columns, time, noTime)
-    entries = [F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("v")) for i, c in enumerate(p.columns)]
-    return p.df.select(F.explode(F.array(*entries)).alias("e")).select("e.name", "e.v")
+    """(name, v): one row per column of a single series, its values in time order; many-column plans join these by name.
+
+    Values are unpivoted before they are gathered, so that a task holds one column at a time.
+    """
+    wanted = list(dict.fromkeys(columns))
+    if missing := [c for c in [*wanted, *([time] if time else [])] if c not in df.columns]:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    at = time_column(df, time, noTime, [])
+    order = quoted(at) if at else F.monotonically_increasing_id()
+    values = F.posexplode(F.array(*(clean(quoted(c)) for c in wanted))).alias("k", "v")
+    long = df.select(order.alias("o"), values).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("r"))
+    name = F.element_at(F.array(*map(F.lit, wanted)), F.col("k") + 1)
+    return long.select(name.alias("name"), F.transform("r", lambda x: x["v"]).alias("v"))

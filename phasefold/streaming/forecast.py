@@ -1,13 +1,15 @@
 """Extension: forecasts over a stream of rows against a fixed library.
 
-Each micro-batch is embedded with the tail of what came before (kept as a table), its
-rows are projected on the library, and results are appended.
+Each micro-batch is embedded with the last rows that came before it, kept as a table of
+bounded size; its rows are projected on the library, and results are appended. Work per
+batch does not grow with what has been seen.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.projection import simplex
 from ..sources.series import indexed, quoted
@@ -25,18 +27,27 @@ def forecast_batch(history: DataFrame, batch: DataFrame, column: str, E: int, Tp
 
 
 def forecast_stream(stream: DataFrame, history: DataFrame, column: str, path: str, E: int, Tp: int = 1, tau: int = -1, time: str | None = None, checkpoint: str | None = None, trigger: dict | None = None):
-    """Start a query that writes forecasts of a stream's rows to path/forecasts; rows seen go to path/rows.
+    """Start a query that writes forecasts of a stream's rows to path/forecasts.
 
-    A batch that is run again overwrites its own folders, so results are written once.
+    path/tail holds, for each batch, the last streamed rows that later ones are embedded
+    with. A batch that is run again overwrites its own folders, so results are written once.
     """
-    spark, n = stream.sparkSession, history.count()
-    history.write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
+    spark, n, at = stream.sparkSession, history.count(), time or history.columns[0]
+    keep, columns = abs(tau) * (E - 1) + abs(Tp) + 1, history.columns
+    kinds = T.StructType([*history.schema.fields, T.StructField("batch", T.LongType())])
+    history.write.mode("overwrite").parquet(f"{path}/library")
+    library = spark.read.parquet(f"{path}/library")
+    history.limit(0).write.mode("overwrite").parquet(f"{path}/tail/batch=-1")
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        seen = spark.read.parquet(f"{path}/rows").where(F.col("batch") < number).drop("batch")
-        got = forecast_batch(seen, batch.select(*history.columns), column, E, Tp, tau, time, n)
+        tails = spark.read.schema(kinds).parquet(f"{path}/tail").where(F.col("batch") < number)
+        last = tails.agg(F.max("batch")).first()[0]
+        # rows of the tail follow the library at once, or hold all lags of the rows that are forecast
+        tail = tails.where(F.col("batch") == F.lit(last)).drop("batch")
+        rows = batch.select(*columns)
+        got = forecast_batch(library.unionByName(tail), rows, column, E, Tp, tau, time, n)
         got.write.mode("overwrite").parquet(f"{path}/forecasts/batch={number}")
-        batch.select(*history.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        tail.unionByName(rows).orderBy(quoted(at).desc()).limit(keep).write.mode("overwrite").parquet(f"{path}/tail/batch={number}")
 
     w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint or f"{path}/checkpoint")
     return (w.trigger(**trigger) if trigger else w).start()
