@@ -9,22 +9,27 @@ from pyspark.sql import functions as F
 from phasefold.llm import base, decontaminate, langid, mixing, near_dedup, token_output
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """docs with columns that are not used renamed, so that no result of an operator takes their place; what gives all columns back."""
+    names = [c if c in used else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language, go."""
-    return langid.identify(docs).where("lang_pred <> 'und'").select(*docs.columns)
+    """Documents without a letter, or without a language, go; others without a lang get the one found."""
+    rows, back = apart(docs, "doc_id", "text", "lang")
+    return langid.identify(rows).where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked at 0.8, over any number of links, the one with the smallest id stays."""
-    run = near_dedup.NearDuplicates(docs)
-    gone = base.Scratch(spark, "gone").save(run.kept().where("NOT kept").select("doc_id").distinct(), "ids")
-    run.scratch.close()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of texts that are linked at 0.8, over any number of links, the row with the smallest id stays."""
+    return near_dedup.deduplicated(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.decontaminate(docs, base.table(spark, sf_dir, "benchmark"), remove="documents").select(*docs.columns)
+    rows, back = apart(docs, "doc_id", "text")
+    return decontaminate.decontaminate(rows, base.table(spark, sf_dir, "benchmark"), remove="documents").select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

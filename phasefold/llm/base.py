@@ -52,20 +52,16 @@ def schema_of(df: DataFrame) -> str:
 class Scratch:
     """A folder of its own in the folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests,
-    local mode) a local temporary folder stands in. Tables written here cut the
-    lineage and outlive lost executors.
+    The cluster names it in spark.checkpoint.dir; a path without a scheme lies on the
+    cluster's default file system. Only where it is unset and the master is local (tests)
+    a local temporary folder stands in. Tables written here cut the lineage and outlive
+    lost executors.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="phasefold-")
-        elif "://" not in root:
-            root = "file://" + root
         bounded(spark)
         self.spark = spark
-        self.uri = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.uri = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}" if name else self.uri
@@ -84,9 +80,30 @@ class Scratch:
         self.drop("")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder as a URI with a scheme."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        return "file://" + tempfile.mkdtemp(prefix="phasefold-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path of a URI as Hadoop names it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted on every executor
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def put_file(uri: str, parts: list[bytes]) -> None:
     """Write a file from an executor: under another name first, then moved, so readers see whole files only."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = file_system(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     with fs.open_output_stream(tmp) as out:
@@ -97,13 +114,17 @@ def put_file(uri: str, parts: list[bytes]) -> None:
 
 def open_map(uri: str) -> pa.Buffer:
     """A file's bytes; mapped, not loaded, on a local or mounted file system."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = file_system(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         return pa.memory_map(path).read_buffer()
     with fs.open_input_file(path) as f:
         return f.read_buffer()
 
 
+def mapped(uri: str) -> bool:
+    return isinstance(file_system(uri)[0], pafs.LocalFileSystem)
+
+
 def put_json(uri: str, value) -> None:
     put_file(uri, [json.dumps(value).encode()])
 
@@ -174,10 +195,16 @@ def release(keep=None) -> None:
         del _held[k]
     if gone:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES, keep=None) -> Iterator[pa.RecordBatch]:
@@ -194,6 +221,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             yield b.slice(lo, hi - lo)
             pa.default_memory_pool().release_unused()
             lo = hi
+    trim()
 
 
 def col(batch: pa.RecordBatch, name: str):

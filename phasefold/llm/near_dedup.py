@@ -26,8 +26,8 @@ Components of the links are found by large-star and small-star steps on tables i
 shared folder.
 
 Defined results: null or empty texts have no shingles and no links; fewer than 5 words
-are one shingle; rows with the same id are one document with all their links; a null
-id is a component of its own; the smallest id represents a component; ids may be of any
+are one shingle; rows with the same id are one document with all their links; a row
+without an id links others, but is a component of its own; the smallest id represents a component; ids may be of any
 type that can be ordered; an empty table gives an empty result.
 """
 
@@ -116,8 +116,8 @@ def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh3_128_intdigest(s.tobytes())
 
 
-def among(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int = 1 << 26) -> DataFrame:
-    """Rows whose key may be wanted: a filter of at most most_bits bits, so of bounded size, sent to all tasks.
+def likely(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int = 1 << 26) -> DataFrame:
+    """rows with f_maybe: whether the key may be wanted, by a filter of at most most_bits bits, so of bounded size, sent to all tasks.
 
     It only spares shuffling others; an exact join follows.
     """
@@ -126,21 +126,21 @@ def among(rows: DataFrame, key, wanted: DataFrame, wanted_key, most_bits: int =
     if bits > most_bits:
         bits = most_bits
         if n > bits // 4:
-            return rows
+            return rows.withColumn("f_maybe", F.lit(True))
     k = wanted.select(F.pmod(wanted_key, F.lit(bits)).alias("k"))
     words = k.groupBy(F.shiftright("k", 6).alias("f_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(k & 63 AS INT)))").alias("f_bits"))
-    own = rows.withColumn("f_k", F.pmod(key, F.lit(bits)))
-    hit = own.join(F.broadcast(words), F.shiftright("f_k", 6) == F.col("f_word"))
-    return hit.where(F.expr("(shiftrightunsigned(f_bits, CAST(f_k & 63 AS INT)) & 1L) = 1L")).drop("f_k", "f_word", "f_bits")
+    own = rows.withColumn("f_k", F.pmod(key, F.lit(bits))).join(F.broadcast(words), F.shiftright("f_k", 6) == F.col("f_word"), "left")
+    hit = F.expr("coalesce(shiftrightunsigned(f_bits, CAST(f_k & 63 AS INT)) & 1L, 0L) = 1L")
+    return own.withColumn("f_maybe", hit).drop("f_k", "f_word", "f_bits")
 
 
 class NearDuplicates:
-    """One run over docs; components() is its result."""
+    """One run over docs; components() is its result. by_id: rows with the same id are one document."""
 
-    def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
-        self.percent, self.t, self.width, self.id_col = percent, percent / 100, width, id_col
+        self.percent, self.t, self.width, self.id_col, self.by_id = percent, percent / 100, width, id_col, by_id
         self.scratch = base.Scratch(docs.sparkSession, "near")
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -228,8 +228,8 @@ class NearDuplicates:
         asks = own.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         asks = asks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         asks = asks.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rep_id", "rep_th")
-        docs = among(self.docs, F.xxhash64("id", "th"), own, F.xxhash64("rep_id", "rep_th"))
-        sent = docs.join(asks, (F.col("id") == F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+        docs = likely(self.docs, F.xxhash64("id", "th"), own, F.xxhash64("rep_id", "rep_th")).where("f_maybe")
+        sent = docs.join(asks, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
         # of equal rows one text is sent
         sent = sent.dropDuplicates(["rep_id", "rep_th", "i", "j"]).select("comp", "i", "j", "block", "node", "text")
         sent = sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
@@ -257,11 +257,11 @@ class NearDuplicates:
         return out
 
     def nodes(self) -> tuple[DataFrame, DataFrame]:
-        """The nodes (node, n, sketch, rep_id, rep_th), and the rows (id, node, n)."""
+        """The nodes (node, n, sketch, rep_id, rep_th), and the rows (id, th, node, n)."""
         rows = self.scratch.save(sketches(self.docs, self.width), "sketches")
 
         def distinct(rows: DataFrame, name: str) -> DataFrame:
-            rep = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("rep")
+            rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
             found = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), rep, F.min("other").alias("low"), F.max("other").alias("high"))
             return self.scratch.save(found.select("node", "n", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "low", "high"), name)
 
@@ -271,21 +271,24 @@ class NearDuplicates:
             named = F.shiftrightunsigned(F.xxhash64("node", "other"), 1)
             rows = rows.join(clash, F.col("node") == F.col("c_node"), "left").withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(named)).drop("c_node")
             found = distinct(rows, "nodes-apart")
-        members = self.scratch.save(rows.select("id", "node", "n"), "members")
+        members = self.scratch.save(rows.select("id", "th", "node", "n"), "members")
         self.scratch.drop("sketches")
-        # a set that only rows without an id hold has no links
-        return found.where("rep_th IS NOT NULL").drop("low", "high"), members
+        return found.drop("low", "high"), members
 
-    def components(self) -> DataFrame:
-        """id, n_shingles, component_id; one row per row of docs."""
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        """(id, th, node, n) of the rows of docs, and (node, rep_id, comp) of the nodes, comp being the smallest node that is reached."""
         nodes, members = self.nodes()
         links = self.links(self.clusters(nodes), nodes)
         # one document may be several nodes, if rows share its id
         keyed = members.where("node IS NOT NULL AND id IS NOT NULL").select("id", "node")
         several = keyed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
         same = keyed.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        whole = self.scratch.save(components(links.unionByName(same), self.scratch), "components")
-        low = nodes.select("node", "rep_id").join(whole, "node", "left").select("node", "rep_id", F.coalesce("comp", "node").alias("comp"))
+        whole = self.scratch.save(components(links.unionByName(same) if self.by_id else links, self.scratch), "components")
+        return members, nodes.select("node", "rep_id").join(whole, "node", "left").select("node", "rep_id", F.coalesce("comp", "node").alias("comp"))
+
+    def components(self) -> DataFrame:
+        """id, n_shingles, component_id; one row per row of docs."""
+        members, low = self.members()
         least = low.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
         names = low.join(least, "comp").select("node", "component_id")
         out = members.join(names, "node", "left")
@@ -372,5 +375,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     return NearDuplicates(docs, percent, width, id_col, text_col).kept()
 
 
+def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, of each component of linked texts only one: that with the smallest id (null last), then text hash.
+
+    Rows are told by id and text, so another text under the same id stays, and of equal
+    rows, or copies without an id, one does. Texts without words are linked with nothing
+    and stay. Only rows that may go are shuffled.
+    """
+    run = NearDuplicates(docs, percent, width, id_col, text_col, by_id=False)
+    members, low = run.members()
+    rows = members.where("node IS NOT NULL").join(low.select("node", "comp"), "node").groupBy("comp", "id", "th").agg(F.count("*").alias("times"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    first = rows.groupBy("comp").agg(F.min(order).alias("first"))
+    marks = rows.join(first, "comp").withColumn("stays", order == F.col("first")).where("NOT stays OR times > 1").select(F.col("id").alias("g_id"), F.col("th").alias("g_th"), "stays")
+    marks = base.Scratch(docs.sparkSession, "gone").save(marks, "rows")
+    run.scratch.close()
+    own = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    packed = docs.select(F.struct(*own.values()).alias("g_row"), F.col(id_col).alias("g_own"), F.xxhash64(text_col).alias("g_text"))
+    some = likely(packed, F.xxhash64("g_own", "g_text"), marks, F.xxhash64("g_id", "g_th"))
+    met = some.where("f_maybe").join(marks, F.col("g_own").eqNullSafe(F.col("g_id")) & (F.col("g_text") == F.col("g_th")), "left")
+    parts = [some.where("NOT f_maybe"), met.where("stays IS NULL"), met.where("stays").dropDuplicates(["g_own", "g_text"])]
+    out = parts[0].select("g_row")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("g_row"))
+    return out.select("g_row.*")
+
+
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(base.table(spark, sf_dir, "documents"), percent=85)
