@@ -99,8 +99,8 @@ def masses(templates: list[dict[str, int]], idf: dict[str, float]) -> dict[float
             most[t] = max(most.get(t, 0.0), (tf[t] * idf[t]) ** 2 / total)
     out: dict[float, list[str]] = {}
     for t, m in sorted(most.items()):
-        out.setdefault(2.0 ** max(-14, math.ceil(math.log2(m))), []).append(t)
-    return out
+        out.setdefault(2.0 ** max(-10, math.ceil(math.log2(m))), []).append(t)
+    return dict(sorted(out.items()))  # the many light ones first
 
 
 def header(text):
@@ -132,7 +132,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     known = listed(templates, texts)
     t_tf = spark.createDataFrame([(i, x, n, t, k) for i, x, n, tf in known for t, k in tf.items()], "t_no int, t_text boolean, t_name string, term string, t_tf long")
     vocabulary = sorted({t for *_, tf in known for t in tf})
-    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("text"), "[^a-z0-9]+"))
+    # membership in lists of literals is a lookup in a hash set that is made once
+    held = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x.isin(vocabulary)))
     df = files.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(held, F.array().cast("array<string>")))).alias("term")).groupBy("term").count()
     # one row per template term, and '' for the number of files
     found = {r.term: r["count"] for r in df.collect()}
@@ -148,9 +149,15 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
 
     key = ["id", "path", "th"]
     keyed = files.select("id", "path", F.xxhash64("text").alias("th"), "text")
-    # what the terms of a text can reach at most, each looked up once
-    most = lambda own: sum((F.lit(m) * F.size(F.array_intersect(F.array(*map(F.lit, ts)), own)) for m, ts in masses([tf for _, x, _, tf in known if x], weight).items()), F.lit(0.0))
-    reach = F.transform(F.array(held), most)[0]
+    most = masses([tf for _, x, _, tf in known if x], weight)
+
+    def mass(term):
+        out = F.lit(0.0)
+        for m, ts in reversed(most.items()):
+            out = F.when(term.isin(ts), F.lit(m)).otherwise(out)
+        return out
+
+    reach = F.aggregate(held, F.lit(0.0), lambda total, x: total + mass(x))  # what the terms of a text can reach at most
     some = keyed.select(*key, "text", F.lower("text").rlike(cue).alias("cued"), (F.coalesce(reach, F.lit(0.0)) >= max(0.0, least - 2e-6) ** 2).alias("near")).where("cued OR near").dropDuplicates(key)
     some = base.Scratch(spark, "licences").save(some.withColumn("size", F.size(terms(F.col("text")))), "some")
     lines = some.where("cued").select(*key, "size", F.posexplode(F.split("text", "\n")).alias("unit", "line")).where(F.lower("line").rlike(cue))
