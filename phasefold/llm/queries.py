@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import decontaminate, langid, license_scan, line_dedup, mixing, near_dedup, token_counts, token_output, topk, toxicity
 
-#: query: (module, has SQL)
-_LISTED = {
-    "op1_line_dedup": ("line_dedup", True),
-    "op2_topk_search": ("topk", True),
-    "op3_decontamination": ("decontaminate", True),
-    "op4_token_counts": ("token_counts", False),
-    "op5_toxicity": ("toxicity", False),
-    "op6_mixing": ("mixing", False),
-    "op7_token_output": ("token_output", False),
-    "op8_near_dedup": ("near_dedup", False),
-    "op9_license_scan": ("license_scan", True),
-    "op10_language_id": ("langid", False),
+_QUERIES = {
+    "op1_line_dedup": line_dedup,
+    "op2_topk_search": topk,
+    "op3_decontamination": decontaminate,
+    "op4_token_counts": token_counts,
+    "op5_toxicity": toxicity,
+    "op6_mixing": mixing,
+    "op7_token_output": token_output,
+    "op8_near_dedup": near_dedup,
+    "op9_license_scan": license_scan,
+    "op10_language_id": langid,
 }
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f".{m}", __package__), name) for name, (m, _) in _LISTED.items()}
+    return {name: getattr(module, name) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: import_module(f".{m}", __package__).SQL for name, (m, sql) in _LISTED.items() if sql}
+    return {name: module.SQL for name, module in _QUERIES.items() if hasattr(module, "SQL")}

@@ -39,7 +39,7 @@ def test_license_prefilter_is_safe(spark):
     for t in texts:
         w = weights(license_scan.words_of(t))
         best.append(max(sum(w[x] * v.get(x, 0) for x in w) / (norm(w) * norm(v) or 1) for v in tpl) if w else 0)
-    got = license_scan.scan(spark.createDataFrame([(i, f"{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")).collect()
+    got = license_scan.scan(spark.createDataFrame([(i, f"{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string"), texts=[]).collect()  # lines alone
     near = 1e-5
     for r in got:
         if abs(best[r.id] - license_scan.LEAST) > near:
