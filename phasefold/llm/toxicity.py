@@ -2,9 +2,11 @@
 
 Voters. Lexicon voters hold words and stems whose document frequencies differ most between toxic
 and other labelled texts (learned from at most `max_labelled` labelled rows outside the
-held-out fold, drawn by a hash; dealt to several voters by rank). A general list of
-insults, spelling patterns that hide insults, direct address, shouting, repeated hits and
-the absence of any hit vote too: toxic, not toxic, or not at all.
+held-out fold, drawn by a hash; dealt to several voters by rank). General voters know
+nothing of the labels: a list of common English insults, any of these with letters
+replaced by look-alikes, insults in direct address, shouting, repeated hits and the
+absence of any hit. A listed insult that the labelled texts show to be an ordinary word
+of theirs is silent. Each votes toxic, not toxic, or not at all.
 
 Label model. Voters' joint votes are counted over all documents outside the held-out
 fold. Expectation-maximisation fits a generative model of a hidden label with one tree
@@ -36,10 +38,20 @@ from .decontaminate import TO_WORDS
 from .near_dedup import shingle_sets
 
 GROUPS = 6
-INSULTS = """idiot idiots idiotic moron morons moronic stupid stupidity loser losers clown clowns scum worthless disgusting
-pathetic trash garbage filth filthy vermin imbecile imbeciles dumb dumbass jerk jerks dimwit halfwit lowlife scumbag degenerate
-parasite parasites coward cowards ugly retard retarded bastard bastards asshole bitch crap damn shit fuck fucking hate""".split()
-HIDDEN = r"(?i)\b(?:[i1!][d][i1!*][o0*]t|[s5$]t[u*][p][i1!*]d|m[o0*]r[o0*]n|l[o0*][s5$][e3*]r|[s5$]cum|[s5$]c\*m|tr[a@4*][s5$]h|cl[o0*]wn|w[o0*]rthl[e3*][s5$]{2}|p[a@4*]th[e3*]t[i1!*]c|d[i1!*][s5$]gu[s5$]t[i1!*]ng)\b"
+#: the weight of one text in the lexicon's sums
+SHARE = 1 << 20
+#: words that are insults or swear words of English in nearly all their uses, by no table's count
+INSULTS = """arse arsehole ass asshat asshole bastard bastards bigot bigots bimbo bitch bitches blockhead bollocks bonehead bozo
+brainless brat buffoon bullshit clown clowns coward cowards crap creep creeps cretin damn degenerate despicable
+dickhead dimwit dipshit disgusting dolt douche dumb dumbass dummy dunce fatso filth filthy fuck fucker fucking garbage
+gutless halfwit hate hateful idiot idiotic idiots ignoramus imbecile imbeciles jackass jerk jerks knucklehead loser
+losers lowlife lunatic maggot maniac mongrel moron moronic morons muppet nitwit numbskull nutcase oaf parasite
+parasites pathetic piss prat repulsive retard retarded revolting rubbish scoundrel scum scumbag scumbags shit shitty
+sicko simpleton slob slut spineless stupid stupidity sucker trash twat twit ugly vermin vile wanker weakling weirdo
+whore wimp witless worthless wretch""".split()
+_ALIKE = {"a": "[a@4*]", "e": "[e3*]", "i": "[i1!*]", "l": "[l1]", "o": "[o0*]", "s": "[s5$]", "t": "[t7+]", "u": "[u*]"}
+#: an insult of at least four letters, spelled plainly or with look-alikes
+HIDDEN = r"(?i)\b(?:" + "|".join("".join(_ALIKE.get(c, c) for c in w) for w in INSULTS if len(w) > 3) + r")\b"
 ADDRESS = r"(?i)\b(?:you|he|she|they|u)(?: are|'re| is|'s)? (?:such )?(?:an? |the )?(?:fucking |stupid |total |complete )?(?:" + "|".join(INSULTS) + r")\b"
 VOTERS = [*(f"learned{g}" for g in range(GROUPS)), "insults", "hidden", "address", "shouting", "repeated", "none"]
 MEASURES = [*(f"hits{g}" for g in range(GROUPS)), "insults", "hidden", "address", "density", "upper", "marks", "length"]
@@ -53,11 +65,11 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
-def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 4) -> list[str]:
-    """Words and stems that tell toxic texts, best first, from rows (text, toxic).
+def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 4) -> tuple[list[str], list[str]]:
+    """Words and stems that tell toxic texts, best first, and listed insults that do not, from rows (text, toxic).
 
-    Of texts with the same smallest shingle hash (copies, mostly) one counts, so that
-    what only a group of copies shares is no sign of its own.
+    Texts with the same smallest shingle hash (copies, mostly) count as one together, each
+    with its share, so that what only a group of copies has is no sign of its own.
     """
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,26 +92,31 @@ def lexicon(texts: DataFrame, most: int = 240, least_docs: int = 4) -> list[str]
             doc, w = each // len(words), each % len(words)
             at = np.repeat(first[w] - np.cumsum(n_own[w]) + n_own[w], n_own[w]) + np.arange(int(n_own[w].sum()))
             each = np.unique(np.repeat(doc, n_own[w]) * len(names) + own[at])
-            toxic, e = base.col(b, "toxic").to_numpy(zero_copy_only=False)[each // len(names)], each % len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array(np.bincount(e, toxic, len(names))), pa.array(np.bincount(e, 1 - toxic, len(names)))], ["word", "pos", "neg"])
-
-    texts = texts.mapInArrow(key, "text string, toxic int, key long").dropDuplicates(["key", "toxic"])
-    sums = texts.mapInArrow(count, "word string, pos double, neg double").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = texts.groupBy("toxic").count().collect()
-    pos, neg = (sum(r["count"] for r in n if r.toxic == v) for v in (1, 0))
+            toxic, share, e = (base.col(b, "toxic").to_numpy() == 1)[each // len(names)], base.col(b, "share").to_numpy()[each // len(names)], each % len(names)
+            pos, neg = (np.bincount(e, share * y, len(names)).astype(np.int64) for y in (toxic, ~toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array(pos), pa.array(neg)], ["word", "pos", "neg"])
+
+    # whole numbers, so that sums do not hang on their order
+    texts = texts.mapInArrow(key, "text string, toxic int, key long")
+    texts = texts.join(texts.groupBy("key", "toxic").agg(F.floor(F.lit(SHARE) / F.count("*")).alias("share")), ["key", "toxic"])
+    sums = texts.select("text", "toxic", "share").mapInArrow(count, "word string, pos long, neg long").groupBy("word").agg((F.sum("pos") / SHARE).alias("pos"), (F.sum("neg") / SHARE).alias("neg"))
+    n = {r.toxic: r.n / SHARE for r in texts.groupBy("toxic").agg(F.sum("share").alias("n")).collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return []
+        return [], []
     share = pos / (pos + neg)
     gain = (F.col("pos") - (F.col("pos") + F.col("neg")) * share) ** 2 / ((F.col("pos") + F.col("neg")) * share * (1 - share))
-    good = sums.where(F.col("pos") >= least_docs).withColumn("chi", gain).where((F.col("chi") > 25) & (F.col("pos") / pos > 8 * F.col("neg") / neg))
-    return [r.word for r in good.orderBy(F.desc("chi"), "word").limit(most).collect()]
+    tells = F.col("pos") / pos > 8 * F.col("neg") / neg
+    good = sums.where(F.col("pos") >= least_docs).withColumn("chi", gain).where((F.col("chi") > 25) & tells)
+    silent = sums.where(F.col("word").isin(INSULTS) & (F.col("neg") >= least_docs) & ~tells)
+    return [r.word for r in good.orderBy(F.desc("chi"), "word").limit(most).collect()], sorted(r.word for r in silent.collect())
 
 
 class Lexicon:
     """The lexicon's group of a word (GROUPS: an insult outside the lexicon; -1: none), remembered up to a bound."""
 
-    def __init__(self, words: list[str]):
-        self.listed = {w: GROUPS for w in INSULTS} | {w: i % GROUPS for i, w in enumerate(words)}
+    def __init__(self, words: list[str], silent: list[str] = ()):
+        self.listed = {w: GROUPS for w in INSULTS if w not in silent} | {w: i % GROUPS for i, w in enumerate(words)}
         self.known: dict[str, int] = {}
 
     def find(self, word: str) -> int:
@@ -115,24 +132,27 @@ class Lexicon:
         return np.array(out, np.int64)
 
 
-def measure(docs: DataFrame, words: list[str]) -> DataFrame:
+def measure(docs: DataFrame, words: list[str], silent: list[str] = ()) -> DataFrame:
     """id, votes (base-3 number, 1 for abstaining), x (measures) of rows (id, text)."""
-    insults, words = frozenset(INSULTS), tuple(words)
+    insults, long, words = frozenset(INSULTS) - frozenset(silent), frozenset(w for w in INSULTS if len(w) > 3), tuple(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = base.held(("lexicon", words), lambda: Lexicon(list(words)))
-        for b in base.steps(batches, keep=("lexicon", words)):
+        listed = base.held(("lexicon", words, insults), lambda: Lexicon(list(words), silent))
+        for b in base.steps(batches, keep=("lexicon", words, insults)):
             texts = base.strings(base.col(b, "text"))
             n = len(texts)
             flat, counts = base.split_words(base.translated(texts, TO_WORDS))
             codes, own = base.coded(flat)
             group = listed.groups(own)
+            is_long = np.fromiter((w in long for w in own), bool, len(own))
+            plain = np.searchsorted(base.starts_of(counts), np.flatnonzero(is_long[codes]), "right") - 1 if len(own) else np.zeros(0, np.int64)
             is_insult = np.fromiter((g >= 0 and w in insults for g, w in zip(group.tolist(), own)), bool, len(own))
             at = np.flatnonzero(group[codes] >= 0) if len(own) else np.zeros(0, np.int64)
             doc, code = np.searchsorted(base.starts_of(counts), at, "right") - 1, codes[at]
             hits = np.bincount(doc * (GROUPS + 1) + group[code], minlength=n * (GROUPS + 1)).reshape(n, GROUPS + 1)
             rude = np.bincount(doc[is_insult[code]], minlength=n)
-            hidden, address, upper, marks = (pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False).astype(np.float64) for p in (HIDDEN, ADDRESS, "[A-Z]", "!"))
+            alike, address, upper, marks = (pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False).astype(np.float64) for p in (HIDDEN, ADDRESS, "[A-Z]", "!"))
+            hidden = np.maximum(alike - np.bincount(plain, minlength=n), 0)  # less those spelled plainly
             size = np.diff(base.raw(texts)[0])
             total = hits.sum(1)
             any_hit = (total > 0) | (hidden > 0) | (address > 0)
@@ -231,8 +251,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_00
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held)
     # a bounded number of rows, so their ids can be sent to all tasks
     known = scratch.save(known.orderBy(F.xxhash64("id", F.lit(5)), "id", "toxic").limit(max_labelled), "known")
-    words = lexicon(rows.join(F.broadcast(known), "id").select("text", "toxic"))
-    measured = scratch.save(measure(rows, words).withColumn("held_out", held), "measured")
+    words, silent = lexicon(rows.join(F.broadcast(known), "id").select("text", "toxic"))
+    measured = scratch.save(measure(rows, words, silent).withColumn("held_out", held), "measured")
     train = measured.where(~F.col("held_out"))
     counts = train.groupBy("votes").count().toPandas()  # combinations of votes: at most 2**11 * 2
     seen = train.join(F.broadcast(known), "id").groupBy("votes", "toxic").count().toPandas()
