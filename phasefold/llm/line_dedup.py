@@ -9,10 +9,11 @@ document is joined or shuffled.
    counts. A line that a third of all rows hold is one row per map task.
 2. Hashes seen in at least two documents (a line of a single one is never dropped)
    are split into shards of about `shard_keys`; each shard becomes a minimal perfect
-   hash (levels of bit arrays, rank by popcount), a fingerprint array and a count
-   array, written as one file in the shared folder.
-3. Documents probe the mapped files shard by shard and are rebuilt. A key outside
-   the index is told by its fingerprint of 64 bits.
+   hash (levels of bit arrays with the rank of every word of bits), a fingerprint array
+   and a count array, written as one file in the shared folder.
+3. Documents probe the files shard by shard and are rebuilt. A worker maps each file
+   once and keeps it for all its tasks (file systems that cannot map are read, and kept
+   up to a bound). A key outside the index is told by its fingerprint of 64 bits.
 
 Defined results: a null or empty text is one empty line, which has an empty key and
 stays; keys are compared by 128-bit hashes; equal rows are documents of their own;
@@ -34,6 +35,8 @@ from . import base
 
 BLANK = b" \t\n\x0b\x0c\r"
 GAMMA, LEVELS = 2.0, 40
+#: bytes of shards that a worker keeps if they cannot be mapped, and of texts that probe together
+KEPT, PROBED = 128 << 20, 16 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,25 +78,26 @@ def build_shard(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> byt
     fp, n = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32)
     fp[where], n[where] = prints, np.minimum(counts, 0xFFFFFFFF)
     head = np.array([len(keys), len(levels), *(len(x) * 8 for x in levels)], np.int64)
+    words = np.concatenate([np.zeros(0, np.uint8), *levels]).view(np.uint64)
+    ones = np.bitwise_count(words).astype(np.uint32)
+    before = (np.cumsum(ones) - ones).astype(np.uint32)
     # levels are multiples of 8 bytes, so that every array of the file is aligned
-    return b"".join([head.tobytes(), *(x.tobytes() for x in levels), fp.tobytes(), n.tobytes()])
+    return b"".join(x.tobytes() for x in (head, words, fp, n, before))
 
 
 class Shard:
     """Lookups in the bytes of build_shard(); the arrays stay mapped."""
 
     def __init__(self, buf: pa.Buffer):
-        n, k = np.frombuffer(buf, np.int64, 2)
-        sizes, at = np.frombuffer(buf, np.int64, k, 16), 16 + 8 * int(k)
-        self.levels, done = [], 0
-        for size in sizes.tolist():
-            words = np.frombuffer(buf, np.uint64, size // 64, at)
-            ones = np.bitwise_count(words).astype(np.int64)
-            self.levels.append((size, words, done + np.cumsum(ones) - ones))
-            done += int(ones.sum())
-            at += size // 8
-        self.prints = np.frombuffer(buf, np.uint64, n, at)
-        self.counts = np.frombuffer(buf, np.uint32, n, at + 8 * int(n))
+        n, k = np.frombuffer(buf, np.int64, 2).tolist()
+        sizes, at = np.frombuffer(buf, np.int64, k, 16), 16 + 8 * k
+        n_words = int(sizes.sum()) // 64
+        words = np.frombuffer(buf, np.uint64, n_words, at)
+        self.prints = np.frombuffer(buf, np.uint64, n, at + 8 * n_words)
+        self.counts = np.frombuffer(buf, np.uint32, n, at + 8 * (n_words + n))
+        before = np.frombuffer(buf, np.uint32, n_words, at + 8 * (n_words + n) + 4 * n)
+        ends = np.cumsum(sizes // 64).tolist()
+        self.levels = [(s, words[e - s // 64 : e], before[e - s // 64 : e]) for s, e in zip(sizes.tolist(), ends)]
 
     def find(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """Document counts of the keys, 0 for those outside the index."""
@@ -103,7 +107,7 @@ class Shard:
             w, bit = words[at >> 6], (at & 63).astype(np.uint64)
             hit = (w >> bit) & np.uint64(1) == 1
             h, wh, bh, ah = left[hit], w[hit], bit[hit], at[hit]
-            i = before[ah >> 6] + np.bitwise_count(wh & ((np.uint64(1) << bh) - np.uint64(1)))
+            i = before[ah >> 6].astype(np.int64) + np.bitwise_count(wh & ((np.uint64(1) << bh) - np.uint64(1)))
             same = self.prints[i] == prints[h]
             out[h[same]] = self.counts[i[same]]
             left = left[~hit]
@@ -137,8 +141,8 @@ def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("h", "f").agg(F.sum("n").alias("n"))
 
 
-def build_index(counts: DataFrame, scratch: base.Scratch, shard_keys: int, floor: int = 2) -> tuple[str, int]:
-    """Write the index of all hashes with at least `floor` documents; its place and number of shards."""
+def build_index(counts: DataFrame, scratch: base.Scratch, shard_keys: int, floor: int = 2) -> tuple[str, int, frozenset[int]]:
+    """Write the index of all hashes with at least `floor` documents; its place, number of shards and those that hold any."""
     stored = scratch.save(counts.where(F.col("n") >= floor), "counts")
     n_shards = max(1, -(-stored.count() // shard_keys))
     place = scratch.path("index")
@@ -156,20 +160,36 @@ def build_index(counts: DataFrame, scratch: base.Scratch, shard_keys: int, floor
         return pa.table({"s": pa.array([s], pa.int32())})
 
     shard = F.pmod(F.shiftrightunsigned("h", 20), F.lit(n_shards)).cast("int")
-    stored.withColumn("s", shard).groupBy("s").applyInArrow(write, "s int").write.format("noop").mode("overwrite").save()
+    written = stored.withColumn("s", shard).groupBy("s").applyInArrow(write, "s int").collect()  # a number per shard
     scratch.drop("counts")
-    return place, n_shards
+    return place, n_shards, frozenset(r.s for r in written)
 
 
-def probe(place: str, n_shards: int, found: set[int], h: np.ndarray) -> np.ndarray:
-    """Document counts of 128-bit hashes; one shard is open at a time."""
+class Shards:
+    """A worker's open shards of an index."""
+
+    def __init__(self, place: str):
+        self.place, self.open, self.read = place, {}, 0
+
+    def get(self, s: int) -> Shard:
+        if s not in self.open:
+            buf, mapped = base.open_map(f"{self.place}/{s:06d}"), base.mapped(self.place)
+            if not mapped and self.read + buf.size > KEPT:
+                self.open, self.read = {}, 0
+            self.open[s] = Shard(buf)
+            self.read += 0 if mapped else buf.size
+        return self.open[s]
+
+
+def probe(shards: Shards, n_shards: int, found: frozenset[int], h: np.ndarray) -> np.ndarray:
+    """Document counts of 128-bit hashes; a shard that was written and is gone is an error."""
     keys, prints = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
     shard = ((keys >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64)
     out, order = np.zeros(len(keys), np.int64), np.argsort(shard, kind="stable")
     ids, at = np.unique(shard[order], return_index=True)
     for s, part in zip(ids.tolist(), np.split(order, at[1:])):
         if s in found:
-            out[part] = Shard(base.open_map(f"{place}/{s:06d}")).find(keys[part], prints[part])
+            out[part] = shards.get(s).find(keys[part], prints[part])
     return out
 
 
@@ -181,21 +201,18 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
-    spark = docs.sparkSession
-    scratch = base.Scratch(spark, "lines")
-    place, n_shards = build_index(line_counts(docs, text_col), scratch, shard_keys)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = spark._jvm.org.apache.hadoop.fs.Path(place)
-    found = {int(x.getPath().getName()) for x in fs.listStatus(at)} if fs.exists(at) else set()
+    scratch = base.Scratch(docs.sparkSession, "lines")
+    place, n_shards, found = build_index(line_counts(docs, text_col), scratch, shard_keys)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.steps(batches):
+        shards = base.held(("shards", place), lambda: Shards(place))
+        for b in base.steps(batches, limit=PROBED, keep=("shards", place)):
             docs_lines = _lines(base.strings(base.col(b, "text")))
             keys = [line_key(x) for lines in docs_lines for x in lines]
             wanted = [i for i, k in enumerate(keys) if k and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "replace")) >= min_chars)]
             drop = np.zeros(len(keys), bool)
             if wanted:
-                drop[wanted] = probe(place, n_shards, found, _hashes([keys[i] for i in wanted])) >= min_docs
+                drop[wanted] = probe(shards, n_shards, found, _hashes([keys[i] for i in wanted])) >= min_docs
             drops, at, out = drop.tolist(), 0, ([], [], [], [])
             for lines in docs_lines:
                 gone = drops[at : at + len(lines)]
