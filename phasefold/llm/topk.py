@@ -4,17 +4,19 @@ Candidates are laid out dimension by dimension. Scores of a block of queries wit
 batch of candidates accumulate one block of dimensions at a time; after each block,
 pairs whose score plus the largest possible rest (Cauchy-Schwarz on the remaining
 mass of both vectors) falls short of the query's bound are compacted away. The bound
-is the query's k-th best score over a bounded pilot of candidates, which only prunes:
-all candidates are searched.
+is first the query's k-th best score over a bounded pilot of candidates, and then rises
+with the k best found in the task. It only prunes: all candidates are searched.
 
 Queries lie in the shared folder and are read in blocks, so neither their number nor
-the candidates' has to fit in memory. Each batch keeps the k best of each query; a
-window with a partial top-k before its shuffle merges them.
+the candidates' has to fit in memory. A task gathers its candidates up to a bound of
+bytes (a whole partition, mostly), keeps the k best of each query over all of them and
+sends these; a window with a partial top-k before its shuffle merges the tasks'.
 
 Defined results: vectors that are null, or hold null or non-finite components, take
 no part; vectors meet vectors of the same length only; a query skips every row with
 its own id; equal scores go to the smaller id; fewer than k candidates give fewer
-rows. Integer scores are exact as long as they are below 2**63.
+rows; query rows with the same id are answered each on its own, and repeated candidates
+count each. Integer scores are exact as long as they are below 2**63.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from . import base
 DIMS = 8
 QUERY_BLOCK = 256
 EXACT = float(2**53)
+#: bytes of candidates that a task searches at once, and candidates between two rises of the bounds
+HELD, RISE = 64 << 20, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -91,6 +95,26 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.
     return qi[best], ids[best], s[best]
 
 
+def best_of(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """search_block() over candidates in turns, each with the bounds that those before it raised."""
+    bound, best = bound.copy(), None
+    for lo in range(0, len(c_ids), RISE):
+        new = search_block(q_ids, q, bound, c_ids[lo : lo + RISE], np.ascontiguousarray(c[:, lo : lo + RISE]), k)
+        if best is None:
+            best = new
+        elif len(new[0]):
+            qi, ids, s = (np.concatenate(x) for x in zip(best, new))
+            order = np.lexsort((ids, -s.astype(object) if s.min() == -(2**63) else -s, qi))
+            qi, ids, s = qi[order], ids[order], s[order]
+            first = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q_ids)))[qi] < k
+            best = qi[first], ids[first], s[first]
+        n = np.bincount(best[0], minlength=len(q_ids))
+        full = n >= k
+        # the score in doubles may be rounded up: one less never prunes an equal one
+        bound[full] = np.maximum(bound[full], np.nextafter(best[2][np.cumsum(n)[full] - 1].astype(np.float64), -np.inf))
+    return best if best is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _bounds(q_ids, q, pilot_ids, pilot, k) -> np.ndarray:
     """Each query's k-th best score over the pilot; -inf where it has fewer."""
     qi, _, s = search_block(q_ids, q, np.full(len(q_ids), -np.inf), pilot_ids, pilot, k)
@@ -126,22 +150,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     place = scratch.path("queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(place)
+        fs, path = base.file_system(place)
         files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".parquet"))
-        for b in batches:
-            cands = list(_by_length(base.col(b, "id").to_numpy(), base.col(b, "v")))
-            for file in files:
+
+        def chunks() -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+            own, size = [], 0
+            for b in batches:
+                own.append(b)
+                size += b.nbytes
+                if size >= HELD:
+                    yield own
+                    own, size = [], 0
+            if own:
+                yield own
+
+        for own in chunks():
+            ids = np.concatenate([base.col(b, "id").to_numpy() for b in own])
+            cands = list(_by_length(ids, pa.concat_arrays([base.col(b, "v") for b in own])))
+            for n_file, file in enumerate(files):
+                at = n_file << 40  # a number for each query row, the same in all tasks
                 for qb in pq.ParquetFile(fs.open_input_file(file)).iter_batches(QUERY_BLOCK):
                     bound = base.col(qb, "bound").to_numpy()
-                    n = np.diff(np.asarray(base.col(qb, "v").offsets))
+                    n, rows = np.diff(np.asarray(base.col(qb, "v").offsets)), at + np.arange(qb.num_rows)
+                    at += qb.num_rows
                     for q_ids, q in _by_length(base.col(qb, "id").to_numpy(), base.col(qb, "v")):
                         for c_ids, c in cands:
                             if len(c) == len(q):
-                                qi, ids, s = search_block(q_ids, q, bound[n == len(q)], c_ids, c, k)
-                                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
+                                qi, found, s = best_of(q_ids, q, bound[n == len(q)], c_ids, c, k)
+                                yield pa.RecordBatch.from_arrays([pa.array(rows[n == len(q)][qi]), pa.array(q_ids[qi]), pa.array(found), pa.array(s)], ["q_row", "query_id", "vec_id", "score"])
 
-    best = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = rows.mapInArrow(search, "q_row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -152,13 +191,13 @@ def op2_topk_search(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
+  SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
 ) WHERE rank <= 10
 """
