@@ -7,7 +7,8 @@ windows, and every hit is verified word by word. Spans or documents are then rem
 
 The hash set is sent to all tasks in blocks of at most `block_words` benchmark words,
 each a file in the shared folder, so its size in memory is bounded however large the
-benchmark is; a usual benchmark is one block, read once by each worker.
+benchmark is; a usual benchmark is one block, read once by each worker. With several, a
+task gathers steps of documents and meets each block once with all of them.
 
 Defined results: a null or empty text has no words and no hit; an item without words
 has no window and is never found; an item shorter than a window is one window; equal
@@ -18,6 +19,7 @@ their own; an empty benchmark finds nothing.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: bytes to bytes: A-Z lower-cased, what is no word a space
 TO_WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 BASE = 0x9E3779B97F4A7C15
+#: steps of documents that meet a block together, if there are several blocks
+GATHERED = 12
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -151,29 +155,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     docs = base.without(docs, "n_words", "n_hit", "items", "contaminated")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.steps(batches, text_col, keep=("grams", blocks[0], window) if blocks else None):
-            texts = base.strings(base.col(b, text_col))
-            flat, counts = base.split_words(base.translated(texts, TO_WORDS))
-            first = base.starts_of(counts)
-            hit, items = np.zeros(len(flat) + 1, np.int32), {}
+        steps = base.steps(batches, text_col, keep=("grams", blocks[0], window) if blocks else None)
+        while own := list(itertools.islice(steps, GATHERED if len(blocks) > 1 else 1)):
+            found = []
+            for b in own:
+                flat, counts = base.split_words(base.translated(base.strings(base.col(b, text_col)), TO_WORDS))
+                found.append((flat, counts, base.starts_of(counts), np.zeros(len(flat) + 1, np.int32), {}))
             for uri in blocks:
                 g = _grams(uri, window)
-                for n, pos, who in g.scan(flat, counts):
-                    np.add.at(hit, pos, 1)
-                    np.add.at(hit, pos + n, -1)
-                    for d, w in zip((np.searchsorted(first, pos, "right") - 1).tolist(), who):
-                        items.setdefault(d, set()).update(g.items[i] for i in w)
-            is_hit = np.cumsum(hit)[:-1] > 0
-            n_hit = np.diff(base.starts_of(is_hit)[first])
-            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            if remove == "spans" and items:
-                out = base.col(b, text_col).to_pylist()
-                for d in items:
-                    out[d] = _without(out[d], is_hit[first[d] : first[d + 1]])
-                cols[text_col] = pa.array(out, cols[text_col].type)
-            cols |= {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "items": pa.array([sorted(items.get(d, ()), key=lambda i: (i is None, i)) for d in range(len(counts))], pa.list_(pa.string())), "contaminated": pa.array(n_hit > 0)}
-            done = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-            yield done.filter(pc.invert(done.column(len(cols) - 1))) if remove == "documents" else done
+                for flat, counts, first, hit, items in found:
+                    for n, pos, who in g.scan(flat, counts):
+                        np.add.at(hit, pos, 1)
+                        np.add.at(hit, pos + n, -1)
+                        for d, w in zip((np.searchsorted(first, pos, "right") - 1).tolist(), who):
+                            items.setdefault(d, set()).update(g.items[i] for i in w)
+            for b, (_, counts, first, hit, items) in zip(own, found):
+                is_hit = np.cumsum(hit)[:-1] > 0
+                n_hit = np.diff(base.starts_of(is_hit)[first])
+                cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+                if remove == "spans" and items:
+                    out = base.col(b, text_col).to_pylist()
+                    for d in items:
+                        out[d] = _without(out[d], is_hit[first[d] : first[d + 1]])
+                    cols[text_col] = pa.array(out, cols[text_col].type)
+                cols |= {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "items": pa.array([sorted(items.get(d, ()), key=lambda i: (i is None, i)) for d in range(len(counts))], pa.list_(pa.string())), "contaminated": pa.array(n_hit > 0)}
+                done = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+                yield done.filter(pc.invert(done.column(len(cols) - 1))) if remove == "documents" else done
 
     return docs.mapInArrow(scan, f"{base.schema_of(docs)}, n_words long, n_hit long, items array<string>, contaminated boolean")
 
