@@ -1,6 +1,7 @@
 """Words of a text as the pre-token pieces of a tokenizers BPE file, and caches by word.
 
-The vocabulary's normalizer (NFC, white space, lower case) and pre-tokenizer (letters,
+fits() tells whether a vocabulary is one of the kind that this module knows; others go
+to the library by whole texts. Of that kind, the vocabulary's normalizer (NFC, white space, lower case) and pre-tokenizer (letters,
 single digits, other signs, byte level) never look across ASCII white space, so a text's
 tokens are those of its words `[^\\x20\\x09-\\x0D]+` in turn. Words below U+0250 are cut
 here; others, and special strings, are left to the library.
@@ -11,6 +12,28 @@ from __future__ import annotations
 import re
 import unicodedata
 
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def plain(spec: dict) -> bool:
+    """Whether the file is BPE by merges alone, its added tokens being found in the text as they are."""
+    m = spec["model"]
+    odd = m.get("dropout") or m.get("unk_token") or m.get("continuing_subword_prefix") or m.get("byte_fallback") or m.get("ignore_merges")
+    return m["type"] == "BPE" and not odd and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+
+
+def fits(spec: dict) -> bool:
+    """Whether tokens of the vocabulary are those of a text's words, cut as here; added tokens start with '<|'."""
+    return plain(spec) and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
 #: words and pieces that a worker remembers at most
 MOST = 300_000
 

@@ -3,7 +3,10 @@
 Each distinct piece of a worker's texts is merged once: its symbols form a linked
 list, adjacent pairs lie in a heap by merge rank, and the lowest-rank pair that still
 stands is popped and merged until none is left. A piece has as many tokens as symbols
-minus merges. Counts of words are remembered, up to a bound, and added up by document.
+minus merges. Where the vocabulary's tokens never reach across white space (pieces.py
+checks that), counts of words are remembered, up to a bound, and added up by document;
+otherwise the library's pre-tokenizer cuts whole texts into pieces. A vocabulary that is
+more than merges (byte fallback, unknown tokens, dropout) is refused.
 
 Defined results: null counts as an empty text (0 bytes, 0 tokens); equal rows are
 counted each; an empty table gives an empty result.
@@ -33,12 +36,16 @@ class Merger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if not pieces.plain(spec):
+            raise ValueError(f"{path}: its tokens are more than merges")
+        self.by_word = pieces.fits(spec)
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab = set(model["vocab"])
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
         self.ranks = {(a, b): r for r, (a, b) in enumerate(pairs)}
         library = Tokenizer.from_file(path)
-        self.normal, self.pre = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.normal = library.normalizer.normalize_str if library.normalizer else str
+        self.pre = library.pre_tokenizer.pre_tokenize_str if library.pre_tokenizer else lambda x: [(x, None)] * bool(x)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words: dict[str, int] = {}
@@ -81,7 +88,7 @@ class Merger:
         return n
 
     def word(self, w: str) -> int:
-        own = pieces.cut(w)
+        own = pieces.cut(w) if self.by_word else None
         if own is not None:
             return sum(map(self.piece, own))
         if self.special and (parts := self.special.split(w))[1:]:
@@ -107,10 +114,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
         m = base.held(("merger", tokenizer), lambda: Merger(tokenizer))
         for b in base.steps(batches, keep=("merger", tokenizer)):
             texts = base.strings(base.col(b, "text"))
-            flat, counts = base.split_words(texts)
-            codes, words = base.coded(flat)
-            total = base.starts_of(m.count(words)[codes] if len(flat) else np.zeros(0, np.int64))
-            n = np.diff(total[base.starts_of(counts)])
+            if m.by_word:
+                flat, counts = base.split_words(texts)
+                codes, words = base.coded(flat)
+                total = base.starts_of(m.count(words)[codes] if len(flat) else np.zeros(0, np.int64))
+                n = np.diff(total[base.starts_of(counts)])
+            else:
+                n = np.array([m.word(x) for x in texts.to_pylist()], np.int64)
             n_bytes = np.diff(base.raw(texts)[0]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([base.col(b, "id"), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -1,14 +1,14 @@
 """Token-ID output: encoded documents in binary files of patched frame-of-reference blocks.
 
-Documents are range-partitioned by id on their own columns, encoded once, and each
-partition is one file: ids in blocks of 128, each as offsets from the block's minimum,
+Documents are range-partitioned by id on their own columns, encoded once, and written in
+files of a bounded number of ids, one or several per partition: ids in blocks of 128, each as offsets from the block's minimum,
 packed at the width that a percentile of them needs; the others keep their low bits in
 place, their high bits and positions in exception lists. An index holds every block's
 byte position, so any document can be read without those before it.
 
-The tokenizers library encodes each distinct word of a worker's texts once (see
-pieces.py: tokens never reach across white space); ids of whole texts are gathered from
-these.
+The tokenizers library encodes each distinct word of a worker's texts once, if tokens of
+the vocabulary never reach across white space (pieces.py checks that); ids of whole texts
+are gathered from these. With another vocabulary it encodes whole texts.
 
 Defined results: null counts as an empty text, which has only the end id; equal ids are
 ordered by a hash of their texts; an empty table gives no file and no rows.
@@ -31,6 +31,8 @@ BLOCK, PERCENT = 128, 97
 MAGIC = b"PFRIDS01"
 #: blocks packed or unpacked in one step
 CHUNK = 4_096
+#: ids after which a partition goes on with a new file
+ROLL = 32_000_000
 
 
 class Encoder:
@@ -39,6 +41,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_word = pieces.fits(json.load(f))
         self.library = Tokenizer.from_file(path)
         self.tokenize = self.library.model.tokenize
         self.clear()
@@ -84,6 +88,9 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's number of ids."""
+        if not self.by_word:
+            got = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
         flat, counts = base.split_words(texts)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
@@ -231,30 +238,37 @@ class TokenFile:
         return unpack_ids(self.parts[3:], self.head["ids"], first, -(-stop // BLOCK))[start - first * BLOCK : stop - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL, step: int = base.STEP_BYTES) -> list[tuple[str, int]]:
     """Write all documents in ascending id order; the files in order, each with its number of ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e, packer, doc_ids, n_ids = base.held(("encoder", tokenizer), lambda: Encoder(tokenizer)), Packer(), [], []
-        for b in base.steps(batches, limit=6_000_000, keep=("encoder", tokenizer)):
+        e = base.held(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        part, attempt, turn = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        packer, doc_ids, n_ids = Packer(), [], []
+
+        def close() -> pa.RecordBatch:
+            uri, owners = f"{folder}/part-{part:06d}-{turn:04d}-{attempt}.ids", pa.concat_arrays(doc_ids)
+            numbers = owners.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            base.put_file(uri, file_parts(numbers, owners.is_null().to_numpy(zero_copy_only=False), np.concatenate(n_ids), packer))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([turn], pa.int32()), pa.array([uri]), pa.array([packer.n], pa.int64())], ["part", "turn", "uri", "n"])
+
+        for b in base.steps(batches, limit=step, keep=("encoder", tokenizer)):
             ids, counts = e.encode(base.strings(base.col(b, "text")))
             packer.add(np.insert(ids, np.cumsum(counts), end_id))
             doc_ids.append(base.col(b, "id"))
             n_ids.append(counts + 1)
-        if not doc_ids:
-            return
-        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        uri, owners = f"{folder}/part-{part:06d}-{attempt}.ids", pa.concat_arrays(doc_ids)
-        numbers = owners.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        base.put_file(uri, file_parts(numbers, owners.is_null().to_numpy(zero_copy_only=False), np.concatenate(n_ids), packer))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([packer.n], pa.int64())], ["part", "uri", "n"])
+            if packer.n >= roll:
+                yield close()
+                packer, doc_ids, n_ids, turn = Packer(), [], [], turn + 1
+        if doc_ids:
+            yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
-    files = ordered.mapInArrow(write, "part int, uri string, n long").collect()  # one row per file
-    return [(r.uri, r.n) for r in sorted(files, key=lambda r: r.part)]
+    files = ordered.mapInArrow(write, "part int, turn int, uri string, n long").collect()  # one row per file
+    return [(r.uri, r.n) for r in sorted(files, key=lambda r: (r.part, r.turn))]
 
 
 def read_tokens(spark, files: list[tuple[str, int]], id_col: str = "doc_id", step: int = 1_000_000) -> DataFrame:
