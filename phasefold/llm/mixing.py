@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import base
 
 BUCKETS = 4096
+#: sources whose plan is sent to all tasks; a longer plan is joined by source
+MOST_SENT = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,7 +66,8 @@ class Mixer:
         plan = docs.sparkSession.createDataFrame(rows, "p_source string, source_size long, target double, whole long, extra long")
         # the bucket in which each source's extra words end
         before = F.coalesce(F.sum("b").over(Window.partitionBy("m_source").orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        edge = sums.withColumn("before", before).join(F.broadcast(plan), F.col("m_source").eqNullSafe(F.col("p_source")))
+        self.sent = F.broadcast if len(rows) <= MOST_SENT else lambda df: df
+        edge = sums.withColumn("before", before).join(self.sent(plan), F.col("m_source").eqNullSafe(F.col("p_source")))
         edge = {r.m_source: (r.m_bucket, r.before) for r in edge.where("before < extra AND before + b >= extra").collect()}
         rows = [(*r, *edge.get(r[0], (-1, 0))) for r in rows]
         self.plan = docs.sparkSession.createDataFrame(rows, "p_source string, source_size long, target double, whole long, extra long, e_bucket int, e_before long")
@@ -77,7 +80,7 @@ class Mixer:
 
     def assign(self, rows: DataFrame, source_col: str, id_col: str) -> DataFrame:
         """Adds the plan's columns and m_more, the words of the last repetition."""
-        got = rows.join(F.broadcast(self.plan), F.col(source_col).eqNullSafe(F.col("p_source")))
+        got = rows.join(self.sent(self.plan), F.col(source_col).eqNullSafe(F.col("p_source")))
         at_end = F.col("m_bucket") == F.col("e_bucket")
         early = got.where(~at_end).withColumn("m_more", F.when(F.col("m_bucket") < F.col("e_bucket"), F.col("m_size")).otherwise(F.lit(0)))
         w = Window.partitionBy("p_source").orderBy("m_u", id_col, "m_size").rowsBetween(Window.unboundedPreceding, -1)
