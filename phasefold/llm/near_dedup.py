@@ -223,13 +223,15 @@ class NearDuplicates:
 
     def links(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold, as many as connect what all of them connect."""
-        own = self.scratch.save(clusters.join(nodes.select("node", "n", "rep_id", "rep_th"), "node"), "own")
+        # a hash of the id, which may be null, is a key by which texts stay partitioned
+        own = self.scratch.save(clusters.join(nodes.select("node", "n", F.xxhash64("rep_id").alias("rep_id"), "rep_th"), "node"), "own")
         blocks = own.groupBy("comp").agg(F.ceil(F.sum("n") / CLUSTER).cast("int").alias("blocks"))
         asks = own.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         asks = asks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         asks = asks.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rep_id", "rep_th")
-        docs = likely(self.docs, F.xxhash64("id", "th"), own, F.xxhash64("rep_id", "rep_th")).where("f_maybe")
-        sent = docs.join(asks, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+        docs = self.docs.select(F.xxhash64("id").alias("id"), "th", "text")
+        docs = likely(docs, F.xxhash64("id", "th"), own, F.xxhash64("rep_id", "rep_th")).where("f_maybe")
+        sent = docs.join(asks, (F.col("id") == F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
         # of equal rows one text is sent
         sent = sent.dropDuplicates(["rep_id", "rep_th", "i", "j"]).select("comp", "i", "j", "block", "node", "text")
         sent = sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
