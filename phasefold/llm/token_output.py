@@ -6,9 +6,10 @@ packed at the width that a percentile of them needs; the others keep their low b
 place, their high bits and positions in exception lists. An index holds every block's
 byte position, so any document can be read without those before it.
 
-The tokenizers library encodes each distinct word of a worker's texts once, if tokens of
-the vocabulary never reach across white space (pieces.py checks that); ids of whole texts
-are gathered from these. With another vocabulary it encodes whole texts.
+If tokens of the vocabulary never reach across white space (pieces.py checks that), the
+distinct words of a step are cut into pieces at once, the tokenizers library encodes each
+distinct piece that the worker does not remember, and ids of whole texts are gathered
+from these. With another vocabulary it encodes whole texts.
 
 Defined results: null counts as an empty text, which has only the end id; equal ids are
 ordered by a hash of their texts; an empty table gives no file and no rows.
@@ -35,8 +36,14 @@ CHUNK = 4_096
 ROLL = 32_000_000
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at first and are n long, in turn."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)]
+
+
 class Encoder:
-    """Ids of words by the tokenizers library, remembered up to a bound."""
+    """Ids of words by the tokenizers library; those of pieces are remembered up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,42 +56,31 @@ class Encoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.known: dict[str, bytes] = {}
         self.flat, self.n_flat = np.zeros(1 << 19, np.uint32), 0
         self.first, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _piece(self, p: str) -> bytes:
-        ids = self.known.get(p)
-        if ids is None:
-            ids = self.known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(p)])
-        return ids
-
-    def _add(self, words: list[str]) -> None:
-        ids, strange = [], []
-        for w in words:
-            own = pieces.cut(w)
-            if own is None:
-                strange.append(len(ids))
-                ids.append(b"")
-            elif len(own) == 1:
-                ids.append(self._piece(own[0]))
-            else:
-                ids.append(b"".join(map(self._piece, own)))
-        if strange:
-            for i, e in zip(strange, self.library.encode_batch_fast([words[i] for i in strange], add_special_tokens=False)):
-                ids[i] = np.array(e.ids, "<u4").tobytes()
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        new = np.frombuffer(b"".join(ids), "<u4")
+    def _add(self, new: list[str]) -> None:
+        """Pieces, and behind a space words for the library."""
+        own, strange = [p for p in new if p[0] != " "], [p[1:] for p in new if p[0] == " "]
+        new, ids, n = own + [" " + w for w in strange], [], []
+        for p in pieces.byte_level(own):
+            got = self.tokenize(p)
+            n.append(len(got))
+            ids += [t.id for t in got]
+        for e in self.library.encode_batch_fast(strange, add_special_tokens=False) if strange else []:
+            n.append(len(e.ids))
+            ids += e.ids
+        new_ids, n = np.array(ids, np.uint32), np.array(n, np.int64)
         k, m = len(self.at), self.n_flat
-        while m + len(new) > len(self.flat):
+        while m + len(new_ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(n) > len(self.first):
             self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
-        self.flat[m : m + len(new)] = new
+        self.flat[m : m + len(new_ids)] = new_ids
         self.first[k : k + len(n)] = m + np.cumsum(n) - n
         self.length[k : k + len(n)] = n
-        self.n_flat = m + len(new)
-        self.at.update(zip(words, range(k, k + len(n))))
+        self.n_flat = m + len(new_ids)
+        self.at.update(zip(new, range(k, k + len(n))))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's number of ids."""
@@ -94,18 +90,29 @@ class Encoder:
         flat, counts = base.split_words(texts)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
-        codes, words = base.coded(flat)
+        d = flat.dictionary_encode()
+        words = base.strings(d.dictionary)
+        here, cuts, n_cuts = pieces.cut_many(words)
+        # words that are not cut at once: as pieces, or behind a space for the library
+        apart = [pieces.cut_text(w) or [" " + w] for w in words.filter(pa.array(~here)).to_pylist()]
+        p = cuts.dictionary_encode()
+        keys = p.dictionary.to_numpy(zero_copy_only=False).tolist() + [k for own in apart for k in own]
         if len(self.at) > pieces.MOST:
             self.clear()
-        if len(self.known) > pieces.MOST:
-            self.known.clear()
-        if new := [w for w in words if w not in self.at]:
-            self._add(new)
-        where = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[codes]
-        n = self.length[where]
-        ends = np.cumsum(n)
-        out = self.flat[np.repeat(self.first[where] - ends + n, n) + np.arange(int(ends[-1]))]
-        return out, np.diff(base.starts_of(n)[base.starts_of(counts)])
+        found = list(map(self.at.get, keys))
+        if None in found:
+            self._add(list(dict.fromkeys(k for k, i in zip(keys, found) if i is None)))
+            found = list(map(self.at.get, keys))
+        numbers = np.array(found, np.int64)
+        numbers = np.concatenate([numbers[p.indices.to_numpy(zero_copy_only=False)], numbers[len(p.dictionary) :]])
+        # ids of the distinct words, those cut at once before the others; then of all words
+        ids = _gather(self.flat, self.first[numbers], self.length[numbers])
+        starts = base.starts_of(self.length[numbers])[base.starts_of(np.concatenate([n_cuts, np.array([len(own) for own in apart], np.int64)]))]
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.flatnonzero(here), np.flatnonzero(~here)])] = np.arange(len(words))
+        where = place[d.indices.to_numpy(zero_copy_only=False)]
+        n = np.diff(starts)[where]
+        return _gather(ids, starts[where], n), np.diff(base.starts_of(n)[base.starts_of(counts)])
 
 
 def _pack(v: np.ndarray, w: int) -> np.ndarray:
