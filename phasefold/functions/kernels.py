@@ -76,9 +76,7 @@ def problem(columns: list[np.ndarray], y: np.ndarray, spec: dict, valid: np.ndar
     lib = lib[(lib + Tp >= 0) & (lib + Tp < n)]
     drop_last = False
     if valid is not None:
-        lib = lib[valid[lib]]
-        if not len(lib):
-            raise ValueError("validLib leaves no library row")
+        lib = lib[valid[lib]]  # may leave none: nothing is predicted then
         k, drop_last = len(lib), overlap
     return Problem(X, y, lib, pred[whole[pred]], parts, Tp, k, spec.get("radius", 0), overlap, drop_last, blocks=tuple(spec.get("block", (0, 1))))
 
@@ -208,9 +206,15 @@ def simplex_weights(dist: np.ndarray) -> np.ndarray:
 
 
 def simplex(p: Problem, pred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions and variances: neighbours' targets weighted by exp(-d / nearest d)."""
-    rows, dist = neighbours(p, pred)
-    return weighted_mean(rows, dist, p.y, p.Tp)
+    """Predictions and variances: neighbours' targets weighted by exp(-d / nearest d).
+
+    Neighbours are held for a block of prediction rows at once, as all valid rows may be neighbours of each.
+    """
+    mu, var = np.full(len(pred), np.nan), np.full(len(pred), np.nan)
+    for lo, hi in chunks(len(pred), min(p.k, len(p.lib))):
+        rows, dist = neighbours(p, pred[lo:hi])
+        mu[lo:hi], var[lo:hi] = weighted_mean(rows, dist, p.y, p.Tp)
+    return mu, var
 
 
 def weighted_mean(rows: np.ndarray, dist: np.ndarray, y: np.ndarray, Tp: int) -> tuple[np.ndarray, np.ndarray]:

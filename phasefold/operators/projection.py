@@ -99,7 +99,8 @@ def simplex(df: DataFrame, columns=None, target=None, lib="", pred="", E: int =
     distances (long series in few dimensions), with the same ties, and a function (X, pred,
     lib, k, radius) -> (rows, distances) finds them in its own way. Missing values: a row with a missing coordinate is neither
     learned from nor predicted (with ignoreNan=False such a row is an error, as neighbours of
-    it are not defined); a missing target of a neighbour gives a missing prediction.
+    it are not defined); a missing target of a neighbour gives a missing prediction,
+    and so does a validLib that leaves no library row.
     returnObject: a Result with neighbours.
     """
     if neighbor_algorithm == "join":

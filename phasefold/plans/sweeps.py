@@ -57,9 +57,9 @@ def predict_nonlinear(df: DataFrame, columns=None, target=None, theta=None, lib=
         p = of_series(s, spec)
         own = kernels.own_rows(p)
         out = {"theta": [], "o": [], "p": []}
-        if len(own) and len(p.lib):
-            rows, dist = kernels.neighbours(p, own)
-            for th, (mu, *_) in zip(thetas, kernels.smap_from(p, own, rows, dist, thetas, fit)):
+        if len(own):
+            found = kernels.smap_from(p, own, *kernels.neighbours(p, own), thetas, fit) if len(p.lib) else [(np.full(len(own), np.nan),)] * len(thetas)
+            for th, (mu, *_) in zip(thetas, found):
                 out["theta"] += [th] * len(own)
                 out["o"] += kernels.at_rows(p.y, own + p.Tp).tolist()
                 out["p"] += mu.tolist()
