@@ -350,7 +350,8 @@ def e_sweep(columns: list[np.ndarray], y: np.ndarray, spec: dict, max_e: int, va
     """rho for E = 1 to max_e: squared distances grow by one lag at a time, so each lag is computed once."""
     probs = [problem(columns, y, spec | {"E": e, "knn": 0, "embedded": False}, valid) for e in range(1, max_e + 1)]
     X = probs[-1].X
-    got = [(np.full((len(p.pred), min(p.k, len(p.lib)) - (1 if p.drop_last else 0)), -1), np.full((len(p.pred), min(p.k, len(p.lib)) - (1 if p.drop_last else 0)), np.inf)) for p in probs]
+    shapes = [(len(p.pred), max(0, min(p.k, len(p.lib)) - (1 if p.drop_last else 0))) for p in probs]
+    got = [(np.full(shape, -1), np.full(shape, np.inf)) for shape in shapes]
     all_pred, all_lib = np.unique(np.concatenate([p.pred for p in probs])), np.unique(np.concatenate([p.lib for p in probs]))
     for lo, hi in chunks(len(all_pred), len(all_lib)):
         q = all_pred[lo:hi]

@@ -30,6 +30,13 @@ def test_valid_library_of_few_rows(spark, tmp_path, far, known):
     assert len(got) == 31 and got.pred.count() == known
 
 
+@pytest.mark.parametrize("far,known", [((), 0), ((9,), 0), ((25,), 0), ((9, 25), 42), ((9, 25, 33, 50), 42)])
+def test_valid_overlap_of_few_rows(spark, tmp_path, far, known):
+    """All valid rows of the first 36 but the farthest, or the row itself: one alone is left out of each."""
+    got = same_as_sql(spark, tmp_path, "simplex_valid_overlap", far)
+    assert len(got) == 43 and got.pred.count() == known
+
+
 @pytest.fixture(scope="module")
 def wave(spark):
     return spark.createDataFrame([(i, float(np.sin(i * i)), float(np.cos(i))) for i in range(60)], "t long, x double, y double")
@@ -45,6 +52,12 @@ def test_no_valid_row_in_sweeps(wave):
     assert got.count() == 3 and got.where("Predictions IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("pred", ["31 60", "20 60"])
+def test_no_valid_row_in_dimensions(wave, pred):
+    got = sweeps.embed_dimension(wave, "x", "y", 3, "1 30", pred, validLib="x > 2").collect()
+    assert sorted((r.E, r.rho) for r in got) == [(1, None), (2, None), (3, None)]
+
+
 def test_neighbours_are_held_by_blocks(monkeypatch):
     rng, asked = np.random.default_rng(0), []
     x = rng.standard_normal(300)
